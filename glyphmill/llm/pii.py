@@ -1,0 +1,285 @@
+"""Personal data by anchor expansion.
+
+An Aho-Corasick automaton finds anchors: at-signs, address schemes, and the cues of identifiers
+(words such as "iban" or "token", a plus sign, an opening bracket, and the digits themselves, since a
+number is its own cue). Only there do local parsers look at the text; each expands the anchor to
+the boundaries of one kind of value and validates it:
+
+=========  =====================================================================
+email      local part and dotted host around an at-sign
+url        scheme to the end of the address, without closing punctuation
+ip         four numbers of 0-255 with dots
+card       13-19 digits, single spaces or hyphens allowed, with a valid Luhn sum
+phone      plus sign or bracketed area code, 9-15 digits
+iban       country, check digits, valid modulo 97
+ssn        3-2-4 digits with hyphens, no zero group
+account    after a cue, a number of 6-18 digits
+secret     after a cue, a token of 12 or more letters and digits with both
+=========  =====================================================================
+
+Each value found is replaced by its kind in square brackets.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from functools import lru_cache
+
+import ahocorasick
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructType
+
+from .common import fresh, small_batches
+
+Span = tuple[int, int, str]
+
+SCHEMES = ("http://", "https://", "ftp://")
+SECRET_CUES = ("token", "api_key", "apikey", "api key", "secret", "password", "passwd", "access_key", "bearer")
+ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte", "a/c")
+KINDS = ("email", "url", "ip", "card", "phone", "iban", "ssn", "account", "secret")
+ASCII_DIGITS = frozenset("0123456789")
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789.!#$%&'*+/=?^_`{|}~-")
+_ALNUM = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+_HOST = _ALNUM | {"-", "."}
+_URL_END = frozenset(" \t\n\r\v\f<>\"'`{}|\\^   ")
+_IBAN = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+
+
+def luhn(digits: str) -> bool:
+    """Whether the digits have a valid Luhn sum and are not all the same."""
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = ord(c) - 48
+        total += d if i % 2 == 0 else d * 2 - 9 * (d > 4)
+    return total % 10 == 0 and len(set(digits)) > 1
+
+
+def email(text: str, at: int) -> Span | None:
+    lo = at
+    while lo > 0 and text[lo - 1] in _LOCAL:
+        lo -= 1
+    while lo < at and text[lo] not in _ALNUM:
+        lo += 1
+    hi = at + 1
+    while hi < len(text) and text[hi] in _HOST:
+        hi += 1
+    while hi > at + 1 and text[hi - 1] in ".-":
+        hi -= 1
+    local, host = text[lo:at], text[at + 1 : hi]
+    labels = host.split(".")
+    good = local and local[-1] != "." and ".." not in local and len(labels) > 1 and all(x and x[0] != "-" and x[-1] != "-" and len(x) < 64 for x in labels)
+    return (lo, hi, "email") if good and len(labels[-1]) > 1 and labels[-1].isalpha() else None
+
+
+def url(text: str, lo: int, size: int) -> Span | None:
+    if lo and text[lo - 1] in _ALNUM:
+        return None
+    hi = lo + size
+    while hi < len(text) and text[hi] not in _URL_END:
+        hi += 1
+    while hi > lo + size and (text[hi - 1] in ".,;:!?*%$&#" or text[hi - 1] == ")" and text.count("(", lo, hi) < text.count(")", lo, hi)):
+        hi -= 1
+    host = text[lo + size : hi].split("/", 1)[0]
+    return (lo, hi, "url") if "." in host.strip(".") or host.partition(":")[0] == "localhost" else None
+
+
+def _run(text: str, lo: int, joints: str) -> tuple[int, str]:
+    """From a digit on, digits with single joints between them: the end and the digits."""
+    hi, digits = lo, []
+    while hi < len(text):
+        c = text[hi]
+        if c in ASCII_DIGITS:
+            digits.append(c)
+            hi += 1
+        elif c in joints and digits and hi + 1 < len(text) and text[hi + 1] in ASCII_DIGITS:
+            hi += 1
+        else:
+            break
+    return hi, "".join(digits)
+
+
+def _open(text: str, lo: int, hi: int) -> bool:
+    """Whether no letter or digit touches the span."""
+    return not (lo and text[lo - 1].isalnum()) and not (hi < len(text) and text[hi].isalnum())
+
+
+def number(text: str, lo: int) -> Span | None:
+    """A card, IP address, social security number or bare phone number that begins at ``lo``."""
+    if lo and (text[lo - 1].isalnum() or text[lo - 1] in "._" or text[lo - 1] == "-" and lo > 1 and text[lo - 2].isalnum()):
+        return None
+    plain, digits = _run(text, lo, "")
+    if len(digits) <= 3 and plain < len(text) and text[plain] == ".":
+        hi, _ = _run(text, lo, ".")
+        parts = text[lo:hi].split(".")
+        return (lo, hi, "ip") if len(parts) == 4 and all(len(x) <= 3 and int(x) < 256 for x in parts) and _open(text, lo, hi) else None
+    if 13 <= len(digits) <= 19:
+        return (lo, plain, "card") if luhn(digits) and _open(text, lo, plain) else None
+    hi, digits = _run(text, lo, "- ")
+    shape = text[lo:hi].replace(" ", "-")
+    groups = shape.split("-")
+    if len(groups) == 4 and 13 <= len(digits) <= 19 and all(len(x) >= 3 for x in groups) and luhn(digits) and _open(text, lo, hi):
+        return lo, hi, "card"
+    if [len(x) for x in text[lo:hi].split("-")] == [3, 2, 4]:
+        a, b, c = text[lo:hi].split("-")
+        return (lo, hi, "ssn") if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" and _open(text, lo, hi) else None
+    if [len(x) for x in groups] == [3, 3, 4] and _open(text, lo, hi) and "-" in text[lo:hi]:
+        return lo, hi, "phone"
+    return None
+
+
+def phone(text: str, lo: int) -> Span | None:
+    """From a plus sign or an opening bracket."""
+    if lo and text[lo - 1].isalnum():
+        return None
+    hi, digits, opened = lo, 0, False
+    if text[hi] == "+":
+        hi += 1
+    while hi < len(text):
+        c = text[hi]
+        if c in ASCII_DIGITS:
+            digits += 1
+        elif c == "(" and not opened:
+            opened = True
+        elif c == ")" and opened and text[hi - 1] in ASCII_DIGITS:
+            pass
+        elif c in " -./" and hi > lo and hi + 1 < len(text) and (text[hi + 1] in ASCII_DIGITS or text[hi + 1] == "(" and not opened) and text[hi - 1] not in " -./":
+            pass
+        else:
+            break
+        hi += 1
+    while hi > lo and text[hi - 1] not in ASCII_DIGITS:
+        hi -= 1
+    bracketed = text[lo] != "(" or ")" in text[lo:hi]
+    return (lo, hi, "phone") if 9 <= digits <= 15 and bracketed and not (hi < len(text) and text[hi].isalnum()) else None
+
+
+def iban(text: str, lo: int) -> Span | None:
+    """From a country code on; groups of four may be set apart by spaces."""
+    size = _IBAN.get(text[lo : lo + 2])
+    if not size or lo and text[lo - 1].isalnum():
+        return None
+    hi, chars = lo, []
+    while hi < len(text) and len(chars) < size:
+        c = text[hi]
+        if c in _ALNUM and not c.islower():
+            chars.append(c)
+        elif c != " " or len(chars) % 4:
+            break
+        hi += 1
+    if len(chars) != size or not (chars[2] in ASCII_DIGITS and chars[3] in ASCII_DIGITS) or not _open(text, lo, hi):
+        return None
+    return (lo, hi, "iban") if int("".join(str(int(c, 36)) for c in chars[4:] + chars[:4])) % 97 == 1 else None
+
+
+def after_cue(text: str, lo: int, hi: int, kind: str) -> Span | None:
+    """The value that follows a cue: joined by at most a few of ``: = # " '``, spaces and one short word."""
+    if lo and text[lo - 1].isalnum() or hi < len(text) and text[hi].isalpha():
+        return None
+    at, stop = hi, min(len(text), hi + 12)
+    while at < stop and (text[at] in " \t:=#\"'." or text[at : at + 2].lower() == "no" or at > hi and text[at - 1 : at + 1].lower() == "no"):
+        at += 1
+    if at == hi:
+        return None
+    end = at
+    if kind == "account":
+        end, digits = _run(text, at, "- ") if at < len(text) and text[at] in ASCII_DIGITS else (at, "")
+        return (at, end, "account") if 6 <= len(digits) <= 18 and _open(text, at, end) else None
+    while end < len(text) and (text[end] in _ALNUM or text[end] in "_-"):
+        end += 1
+    value = text[at:end]
+    mixed = any(c in ASCII_DIGITS for c in value) and any(c.isalpha() for c in value)
+    return (at, end, "secret") if len(value) >= 12 and mixed else None
+
+
+@lru_cache(maxsize=1)
+def automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    out.add_word("@", ("email", 1))
+    for s in SCHEMES:
+        out.add_word(s, ("url", len(s)))
+    for c in "0123456789":
+        out.add_word(c, ("number", 1))
+    for c in "+(":
+        out.add_word(c, ("phone", 1))
+    for c in _IBAN:
+        for d in "0123456789":
+            out.add_word(c + d, ("iban", 3))
+    for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
+        for cue in cues:
+            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
+                out.add_word(form, (kind, len(form)))
+    out.make_automaton()
+    return out
+
+
+def spans(text: str) -> list[Span]:
+    """The values of a text, in order and without overlap; of two that overlap the longer stays,
+    or the earlier of equal ones. Scans the whole text; case variants of cues are lower, upper
+    and title case."""
+    found: set[Span] = set()
+    digit = -2
+    for last, (kind, size) in automaton().iter(text):
+        lo = last - size + 1
+        if kind == "number":
+            fresh_run = digit != last - 1
+            digit = last
+            span = number(text, lo) if fresh_run else None
+        elif kind == "email":
+            span = email(text, lo)
+        elif kind == "url":
+            span = url(text, lo, size)
+        elif kind == "phone":
+            span = phone(text, lo)
+        elif kind == "iban":
+            span = iban(text, lo)
+        else:
+            span = after_cue(text, lo, last + 1, kind)
+        if span:
+            found.add(span)
+    if len(found) < 2:
+        return list(found)
+    out: list[Span] = []
+    for s in sorted(found, key=lambda s: (s[0] - s[1], s)):
+        if all(s[1] <= x[0] or s[0] >= x[1] for x in out):
+            out.append(s)
+    return sorted(out)
+
+
+def redact(text: str) -> tuple[str, list[str]]:
+    """The text with its values replaced, and their kinds in order."""
+    found = spans(text)
+    if not found:
+        return text, []
+    parts, at = [], 0
+    for lo, hi, kind in found:
+        parts += [text[at:lo], f"[{kind.upper()}]"]
+        at = hi
+    return "".join([*parts, text[at:]]), [kind for _, _, kind in found]
+
+
+_FOUND = StructType().add("changed", "string").add("kinds", ArrayType(StringType()))
+
+
+@F.pandas_udf(_FOUND)
+def _redacted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for part in texts:
+        rows = [(None, None) if t is None else redact(t) for t in part]
+        yield pd.DataFrame({"changed": [x if k else None for x, k in rows], "kinds": [k for _, k in rows]})
+
+
+def redact_documents(docs: DataFrame, kinds: str | None = None) -> DataFrame:
+    """The documents with personal data replaced in ``text``; all other columns stay.
+
+    ``n_chars``, if there is one, follows a changed text. ``kinds`` names a column to add with the
+    kinds found, in order. Defined cases: a null text stays null and has null kinds; an empty text
+    has none; rows are handled one by one, so repeats, ties and null ids need no rule; an empty
+    table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    got = fresh(docs.columns, "redacted")
+    out = docs.withColumn(got, _redacted("text"))
+    text = F.coalesce(F.col(f"{got}.changed"), F.col("text"))
+    columns = [text.alias("text") if c == "text" else F.when(F.col(f"{got}.changed").isNull(), F.col(c)).otherwise(F.length(text)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    return out.select(*columns, *([F.col(f"{got}.kinds").alias(kinds)] if kinds else []))
