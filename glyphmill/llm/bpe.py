@@ -15,14 +15,17 @@ first byte is kept, so that any range of tokens can be decoded and found in the
 from __future__ import annotations
 
 import base64
+import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from .common import slices, small_batches
 
@@ -238,8 +241,6 @@ class Codec:
 
     def _long(self, piece: bytes) -> list[int]:
         """As :meth:`merge` for one piece with a heap, in n log n steps, for long runs of one sign and the like."""
-        import heapq
-
         ranks, n = self.ranks, len(piece)
         end, before, after = list(range(1, n + 1)), list(range(-1, n - 1)), list(range(1, n + 1))
         alive = [True] * n
@@ -345,9 +346,6 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds the decoded text of a column of ids; bytes that are no UTF-8 become U+FFFD; null stays null."""
-    import pandas as pd
-    from pyspark.sql.types import StringType
-
     @F.pandas_udf(StringType())
     def run(column: pd.Series) -> pd.Series:
         tool = codec(vocabulary)
