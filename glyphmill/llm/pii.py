@@ -14,7 +14,8 @@ phone      plus sign or bracketed area code, 9-15 digits
 iban       country, check digits, valid modulo 97
 ssn        3-2-4 digits with hyphens, no zero group
 account    after a cue, a number of 6-18 digits
-secret     after a cue, a token of 12 or more letters and digits with both
+secret     after a cue, a token of 12 or more letters and digits with both; a cloud key
+           of 20 capitals and digits by its first letters
 =========  =====================================================================
 
 Each value found is replaced by its kind in square brackets.
@@ -37,6 +38,7 @@ Span = tuple[int, int, str]
 
 SCHEMES = ("http://", "https://", "ftp://")
 SECRET_CUES = ("token", "api_key", "apikey", "api key", "secret", "password", "passwd", "access_key", "bearer")
+KEY_CUES = ("AKIA", "ASIA")
 ACCOUNT_CUES = ("account", "acct", "konto", "cuenta", "compte", "a/c")
 KINDS = ("email", "url", "ip", "card", "phone", "iban", "ssn", "account", "secret")
 ASCII_DIGITS = frozenset("0123456789")
@@ -193,6 +195,13 @@ def after_cue(text: str, lo: int, hi: int, kind: str) -> Span | None:
     return (at, end, "secret") if len(value) >= 12 and mixed else None
 
 
+def key(text: str, lo: int) -> Span | None:
+    """A key that its first letters tell."""
+    hi = lo + 20
+    value = text[lo:hi]
+    return (lo, hi, "secret") if len(value) == 20 and value.isascii() and value.isalnum() and value.isupper() and any(c in ASCII_DIGITS for c in value) and _open(text, lo, hi) else None
+
+
 @lru_cache(maxsize=1)
 def automaton() -> ahocorasick.Automaton:
     out = ahocorasick.Automaton()
@@ -206,6 +215,8 @@ def automaton() -> ahocorasick.Automaton:
     for c in _IBAN:
         for d in "0123456789":
             out.add_word(c + d, ("iban", 3))
+    for c in KEY_CUES:
+        out.add_word(c, ("key", len(c)))
     for kind, cues in (("secret", SECRET_CUES), ("account", ACCOUNT_CUES)):
         for cue in cues:
             for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
@@ -234,6 +245,8 @@ def spans(text: str) -> list[Span]:
             span = phone(text, lo)
         elif kind == "iban":
             span = iban(text, lo)
+        elif kind == "key":
+            span = key(text, lo)
         else:
             span = after_cue(text, lo, last + 1, kind)
         if span:
