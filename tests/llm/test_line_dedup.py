@@ -116,11 +116,18 @@ def test_texts(spark):
 
 def test_the_first_copy_stays_and_short_lines_stay(spark):
     passage = " ".join(f"word{i}" for i in range(60))
-    rows = [(i, f"start {i}\n{passage}\nYes.\nend {i}", "en", "s", 1) for i in range(1, 400)]
+    rows = [(i, f"start {i}\n{passage}\nown {i}\nYes.\nend {i}", "en", "s", 1) for i in range(1, 400)]
     out = {r["doc_id"]: r["text"] for r in L.deduplicate(table(spark, rows)).collect()}
-    assert passage in out[1]
-    assert all(out[i] in (f"start {i}\nYes.\nend {i}", f"start {i}\nend {i}") for i in range(2, 400))
-    assert all("Yes." in out[i] for i in range(2, 400))
+    assert out[1] == rows[0][1]
+    assert all(out[i] == f"start {i}\nown {i}\nYes.\nend {i}" for i in range(2, 400))
+
+
+def test_a_short_line_beside_a_passage_is_part_of_its_block(spark):
+    passage = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"start {i}\n{passage}\nYes.\nend {i}", "en", "s", 1) for i in range(1, 400)]
+    found = {r["doc_id"]: r["positions"] for r in L.repeated_lines(table(spark, rows)).collect()}
+    assert found == naive(rows, L.RARE, L.WORDS) == {i: [1, 2] for i in range(2, 400)}
+    assert {r["doc_id"]: r["positions"] for r in L.repeated_lines(table(spark, rows), 1000).collect()} == found
 
 
 def test_empty(spark):
