@@ -108,7 +108,10 @@ def _open(text: str, lo: int, hi: int) -> bool:
 
 
 def number(text: str, lo: int) -> Span | None:
-    """A card, IP address, social security number or bare phone number that begins at ``lo``."""
+    """A card, IP address, social security number or bare phone number that begins at ``lo``.
+
+    Groups of digits are taken from ``lo`` on; a value may end before a space though digits follow.
+    """
     if lo and (text[lo - 1].isalnum() or text[lo - 1] in "._" or text[lo - 1] == "-" and lo > 1 and text[lo - 2].isalnum()):
         return None
     plain, digits = _run(text, lo, "")
@@ -118,43 +121,66 @@ def number(text: str, lo: int) -> Span | None:
         return (lo, hi, "ip") if len(parts) == 4 and all(len(x) <= 3 and int(x) < 256 for x in parts) and _open(text, lo, hi) else None
     if 13 <= len(digits) <= 19:
         return (lo, plain, "card") if luhn(digits) and _open(text, lo, plain) else None
-    hi, digits = _run(text, lo, "- ")
-    shape = text[lo:hi].replace(" ", "-")
-    groups = shape.split("-")
-    if len(groups) == 4 and 13 <= len(digits) <= 19 and all(len(x) >= 3 for x in groups) and luhn(digits) and _open(text, lo, hi):
-        return lo, hi, "card"
-    if [len(x) for x in text[lo:hi].split("-")] == [3, 2, 4]:
-        a, b, c = text[lo:hi].split("-")
-        return (lo, hi, "ssn") if a not in ("000", "666") and a < "900" and b != "00" and c != "0000" and _open(text, lo, hi) else None
-    if [len(x) for x in groups] == [3, 3, 4] and _open(text, lo, hi) and "-" in text[lo:hi]:
-        return lo, hi, "phone"
+    groups, ends, joints, hi = [digits], [plain], "", plain
+    while len(groups) < 4 and hi + 1 < len(text) and text[hi] in "- " and text[hi + 1] in ASCII_DIGITS:
+        joints += text[hi]
+        hi, digits = _run(text, hi + 1, "")
+        groups.append(digits)
+        ends.append(hi)
+    for n, kind in ((4, "card"), (3, "card"), (3, "ssn"), (3, "phone")):
+        if len(groups) < n or not _open(text, lo, end := ends[n - 1]) or text[end : end + 1] == "-" and text[end + 1 : end + 2] in ASCII_DIGITS:
+            continue
+        sizes, own = [len(x) for x in groups[:n]], "".join(groups[:n])
+        a, b, c = groups[:3]
+        if kind == "card":
+            shape = 13 <= len(own) <= 19 and min(sizes) >= 3 if n == 4 else sizes == [4, 6, 5]
+            good = shape and luhn(own)
+        elif kind == "ssn":
+            good = sizes == [3, 2, 4] and joints[:2] == "--" and a not in ("000", "666") and a < "900" and b != "00" and c != "0000"
+        else:
+            good = sizes == [3, 3, 4] and "-" in joints[:2]
+        if good:
+            return lo, end, kind
     return None
 
 
 def phone(text: str, lo: int) -> Span | None:
-    """From a plus sign or an opening bracket."""
+    """From a plus sign or an opening bracket.
+
+    A number of country code 1 ends after ten more digits, one that begins with a bracket after
+    ten. Any other takes what digits follow, but nothing that is a value by itself, and ends at a
+    joint if there are too many.
+    """
     if lo and text[lo - 1].isalnum():
         return None
-    hi, digits, opened = lo, 0, False
+    hi, digits, opened, ends = lo, 0, False, 0
     if text[hi] == "+":
         hi += 1
-    while hi < len(text):
+    whole = 10 if text[lo] == "(" else 11 if text[hi : hi + 1] == "1" else 99
+    while hi < len(text) and digits < whole:
         c = text[hi]
         if c in ASCII_DIGITS:
             digits += 1
+            if digits > 15:
+                hi = ends
+                break
         elif c == "(" and not opened:
             opened = True
         elif c == ")" and opened and text[hi - 1] in ASCII_DIGITS:
             pass
         elif c in " -./" and hi > lo and hi + 1 < len(text) and (text[hi + 1] in ASCII_DIGITS or text[hi + 1] == "(" and not opened) and text[hi - 1] not in " -./":
-            pass
+            if digits >= 9:
+                if c == " " and number(text, hi + 1):
+                    break
+                ends = hi
         else:
             break
         hi += 1
     while hi > lo and text[hi - 1] not in ASCII_DIGITS:
         hi -= 1
+    digits = sum(c in ASCII_DIGITS for c in text[lo:hi])
     bracketed = text[lo] != "(" or ")" in text[lo:hi]
-    return (lo, hi, "phone") if 9 <= digits <= 15 and bracketed and not (hi < len(text) and text[hi].isalnum()) else None
+    return (lo, hi, "phone") if 9 <= digits <= 15 and bracketed and not text[hi : hi + 1].isalnum() else None
 
 
 def iban(text: str, lo: int) -> Span | None:
