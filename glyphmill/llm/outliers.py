@@ -37,6 +37,7 @@ LEAST = 30 * P  # smaller groups share the estimate of their language, then of a
 STEPS = 12
 BINS = 400
 FLOOR = 0.1  # least standard deviation of a transformed statistic
+BROADCAST_ROWS = 20_000  # tables of groups with more rows (of up to 360 bytes) are joined by a shuffle instead
 
 LETTER, UPPER, DIGIT, SPACE, STOP, SYMBOL = range(6)
 
@@ -184,13 +185,19 @@ _SUMS = {f"s{i}": f"sum(x{i} - c{i})" for i in range(P)} | {f"q{i}_{j}": f"sum((
 Estimate = tuple[np.ndarray, np.ndarray]
 
 
+def _joined(rows: list[tuple], schema: str, spark: SparkSession) -> DataFrame:
+    """A table of one row a group, broadcast in joins as long as it is small."""
+    table = spark.createDataFrame(rows, schema)
+    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+
+
 def _table(spark: SparkSession, estimates: dict[tuple[int, int], Estimate], centre: dict[int, np.ndarray], radius: dict[tuple[int, int], float]) -> DataFrame:
     """The parameters of each (group, start), one row each."""
     rows = []
     for (g, k), (mean, cov) in sorted(estimates.items()):
         inverse = np.linalg.inv(cov)
         rows.append((g, k, radius.get((g, k), math.inf), *map(float, mean), *(float(inverse[i, j]) for i, j in _PAIRS), *map(float, centre[g])))
-    return spark.createDataFrame(rows, "g int, k int, radius double, " + ", ".join(f"{c} double" for c in (*_M, *_W, *_C)))
+    return _joined(rows, "g int, k int, radius double, " + ", ".join(f"{c} double" for c in (*_M, *_W, *_C)), spark)
 
 
 def _moments(row: Row, centre: np.ndarray) -> Estimate:
@@ -223,12 +230,12 @@ def grouping(vectors: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[in
         pools.setdefault((2,), []).extend(pools.pop(key))
     good = [rows for _, rows in sorted(pools.items(), key=lambda x: repr(x[0])) if sum(r["count"] for r in rows) >= least]
     names = [(r["lang"], r["source"], g) for g, rows in enumerate(good) for r in rows]
-    table = vectors.sparkSession.createDataFrame(names, "lang string, source string, g int")
+    table = _joined(names, "lang string, source string, g int", vectors.sparkSession)
     return table, {g: sum(r["count"] for r in rows) for g, rows in enumerate(good)}
 
 
 def _grouped(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """The vectors with their group; the group table is broadcast only while Spark finds it small."""
+    """The vectors with their group, null for those of none."""
     names = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g")
     return vectors.join(names, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
 
@@ -243,13 +250,13 @@ def fit(vectors: DataFrame, groups: DataFrame, sizes: dict[int, int], steps: int
 
     medians = points.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"c{i}") for i in range(P)])
     centre = {r["g"]: np.array([r[c] for c in _C]) for r in medians.collect()}
-    middle = spark.createDataFrame([(g, *map(float, c)) for g, c in centre.items()], "g int, " + ", ".join(f"{c} double" for c in _C))
+    middle = _joined([(g, *map(float, c)) for g, c in centre.items()], "g int, " + ", ".join(f"{c} double" for c in _C), spark)
     spreads = points.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.expr(f"x{i} - c{i}")), 0.5, 10000).alias(f"c{i}") for i in range(P)])
     spread = {r["g"]: np.maximum(1.4826 * np.array([r[c] for c in _C]), FLOOR) for r in spreads.collect()}
     estimates: dict[tuple[int, int], Estimate] = {(g, 0): (centre[g], np.diag(spread[g] ** 2)) for g in sizes}
 
     # the second start: the signs' correlation, with the same scales
-    scaled = spark.createDataFrame([(g, *map(float, centre[g]), *map(float, spread[g])) for g in sizes], "g int, " + ", ".join(f"{c} double" for c in [*_C, *_M]))
+    scaled = _joined([(g, *map(float, centre[g]), *map(float, spread[g])) for g in sizes], "g int, " + ", ".join(f"{c} double" for c in [*_C, *_M]), spark)
     signs = points.join(scaled, "g").select("g", *[F.expr(f"(x{i} - c{i}) / m{i}").alias(f"y{i}") for i in range(P)])
     signs = signs.withColumn("r", F.expr("sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(P)) + ") + 1e-12"))
     for r in signs.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"y{i} * y{j} / (r * r)")).alias(f"q{i}_{j}") for i, j in _PAIRS]).collect():
@@ -267,7 +274,7 @@ def fit(vectors: DataFrame, groups: DataFrame, sizes: dict[int, int], steps: int
         """For each (group, start) the least bin edge within which half of the group lies."""
         bins = points.join(_table(spark, estimates, centre, {}), "g").select("g", "k", F.expr(_distance()).alias("d")).groupBy("g", "k", F.expr(_BIN).alias("bin")).count()
         running = bins.withColumn("total", F.expr("sum(count) over (partition by g, k order by bin)"))
-        wanted = running.join(spark.createDataFrame(list(need.items()), "g int, need long"), "g").where("total >= need").groupBy("g", "k").agg(F.min("bin").alias("bin"))
+        wanted = running.join(_joined(list(need.items()), "g int, need long", spark), "g").where("total >= need").groupBy("g", "k").agg(F.min("bin").alias("bin"))
         return {(r["g"], r["k"]): edge_of(r["bin"]) if r["bin"] < BINS - 1 else math.inf for r in wanted.collect()}
 
     before: dict[tuple[int, int], float] = {}
