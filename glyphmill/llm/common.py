@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from xxhash import xxh64_intdigest
 
 SLICE_BYTES = 1 << 19
+BATCH_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +64,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that hold whole texts, so that a Python worker stays small."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
