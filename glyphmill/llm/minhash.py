@@ -34,6 +34,7 @@ THRESHOLD = 0.5
 MISS = 0.01
 BATCH = 32
 PART = 2000  # comparisons with one document that a task makes in a row
+BROADCAST_IDS = 1_000_000  # of the documents to verify; of more, the texts are found by a shuffle
 
 _A = (mix(np.arange(1, HASHES + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (mix(np.arange(1001, HASHES + 1001, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
@@ -150,16 +151,20 @@ def _verified(threshold: float):
     return run
 
 
-def verify(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, threshold: float, miss: float) -> DataFrame:
+def verify(pairs: DataFrame, sigs: DataFrame, base: DataFrame, threshold: float, miss: float) -> DataFrame:
     """The pairs (a, b) whose trigram sets have a Jaccard similarity of at least the threshold.
 
-    ``sigs`` and ``texts`` have one row a document. A document with many partners has them cut
-    into parts, each with its own copy of that document, so that no task holds them all.
+    ``sigs`` has one row a document, ``base`` all texts. Only the texts of pairs that survive the
+    signatures move: their ids are broadcast to the scan up to ``BROADCAST_IDS``. A document with
+    many partners has them cut into parts, each with its own copy of that document, so that no
+    task holds them all.
     """
     left, right = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
-    alive = pairs.join(left, "a").join(right, "b").where(_bayes(threshold, miss)("sa", "sb")).select("a", "b")
-    size = alive.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
-    alive = stored(alive.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")), "alive")
+    passed = stored(pairs.join(left, "a").join(right, "b").where(_bayes(threshold, miss)("sa", "sb")).select("a", "b"), "passed")
+    size = passed.groupBy("a").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
+    alive = stored(passed.join(size, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")), "alive")
+    ids = stored(alive.select(F.col("a").alias("doc_id")).unionByName(alive.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    texts = base.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     wanted = alive.select(F.col("b").alias("doc_id"), "a", "part", "b").unionByName(
         alive.select("a", "part").distinct().select(F.col("a").alias("doc_id"), "a", "part", F.lit(None).cast("long").alias("b"))
     )
@@ -214,10 +219,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     star = buckets.select("a", F.explode("ids").alias("b")).where("a <> b").distinct()
     touched = buckets.select(F.explode("ids").alias("rep")).distinct()
     near_sigs = stored(sigs.join(touched, "rep"), "near_sigs")
-    texts = base.join(touched.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = stored(texts, "near_texts")
 
-    first = stored(verify(star, near_sigs, texts, threshold, miss).select("a", "b"), "star")
+    first = stored(verify(star, near_sigs, base, threshold, miss).select("a", "b"), "star")
     groups = components(first)
     member = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("rep")).join(groups.withColumnRenamed("node", "rep"), "rep", "left")
     lists = stored(member.groupBy("bucket", F.coalesce("root", "rep").alias("root")).agg(F.collect_list("rep").alias("ids")), "lists")
@@ -226,7 +229,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     x, y = lists.select("bucket", F.col("root").alias("rx"), F.col("ids").alias("x")), lists.select("bucket", F.col("root").alias("ry"), F.col("ids").alias("y"))
     cross = x.join(y, "bucket").where("rx < ry").select(F.explode("x").alias("p"), "y").select("p", F.explode("y").alias("q"))
     cross = cross.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct().join(star.withColumn("done", F.lit(1)), ["a", "b"], "left_anti")
-    second = verify(cross, near_sigs, texts, threshold, miss).select("a", "b")
+    second = verify(cross, near_sigs, base, threshold, miss).select("a", "b")
     roots = components(first.unionByName(second).unionByName(exact))
     return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
 
