@@ -49,8 +49,12 @@ def _form_udf(form: str, nested: bool):
     if form not in FORMS:
         raise ValueError(f"form must be one of {list(FORMS)}, got {form!r}")
     if nested:
-        return F.arrow_udf(lambda values: _nested(values, form), ArrayType(BLOCK_TYPE))
-    return F.arrow_udf(lambda values: _normal(values, form), StringType())
+        udf = F.arrow_udf(lambda values: _nested(values, form), ArrayType(BLOCK_TYPE))
+    else:
+        udf = F.arrow_udf(lambda values: _normal(values, form), StringType())
+    # not deterministic in name only: else the optimizer could copy the call into the lambda of a
+    # later higher-order function, where Python cannot be evaluated
+    return udf.asNondeterministic()
 
 
 def normal_form(text: Column, form: str = "NFC") -> Column:

@@ -115,7 +115,9 @@ def normalize(raw: DataFrame, encoding: str | None = None, form: str = "NFC") ->
         if encoding == "auto":
             silent = ~native & (F.col("_doc.method") == "assumed-unicode")
             probe = F.when(silent, F.col("_text")).otherwise("")
-            df = df.withColumn("_probe", normal_form(clean_chars(before_clean(probe, form)), form)).withColumn("_gains", gains(F.col("_probe")))
+            df = df.withColumn("_probe", normal_form(clean_chars(before_clean(probe, form)), form))
+            # the condition is always true; it keeps the optimizer from copying Python calls into lambdas
+            df = df.withColumn("_gains", F.when(F.rand() >= 0, gains(F.col("_probe"))))
             df = df.withColumn("_doc", F.when(silent, content_verdict(F.col("_gains"))).otherwise(F.col("_doc"))).drop("_probe", "_gains")
         df = df.withColumn("_doc", F.when(native, verdict(None, OVERRIDE, "native")).otherwise(F.col("_doc")))
 
