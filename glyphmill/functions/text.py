@@ -37,10 +37,9 @@ def _nested(values: pa.Array, form: str) -> pa.Array:
         fields = [_nested(values.field(i), form) for i in range(values.type.num_fields)]
         return pa.StructArray.from_arrays(fields, names=[f.name for f in values.type], mask=values.is_null())
     if pa.types.is_list(values.type):
-        whole = values if values.offset == 0 else pa.concat_arrays([values])
-        lengths = whole.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        edges = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32), mask=np.append(np.asarray(whole.is_null()), False))
-        return pa.ListArray.from_arrays(edges, _nested(whole.flatten(), form))
+        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        edges = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32), mask=np.append(np.asarray(values.is_null()), False))
+        return pa.ListArray.from_arrays(edges, _nested(values.flatten(), form))
     return _normal(values, form) if pa.types.is_string(values.type) else values
 
 
