@@ -117,8 +117,8 @@ def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
             raise BadRecord("a record has no valid Content-Length") from None
         if size < 0 or not stream.ensure(len(head) + size):
             raise BadRecord("a record is cut short")
-        begin = stream.at
         stream.ensure(len(head) + size + 4)
+        begin = stream.at  # after the last call that may inflate, which may move the held bytes
         end = begin + len(head) + size
         tail = end
         while tail < min(end + 4, len(stream.held)) and stream.held[tail] in (10, 13):

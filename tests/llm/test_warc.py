@@ -42,6 +42,20 @@ def test_records_larger_than_a_chunk(tmp_path):
     assert got[0][2].endswith(big[-50:].encode())
 
 
+@pytest.mark.parametrize("inside", range(6))
+def test_a_chunk_that_ends_in_the_closing_blank_lines(inside):
+    def padded(i, size):
+        bare = len(W.page_record(i, "u", "x" * 10**6)) - 10**6  # the lengths in the headers have seven digits
+        return W.page_record(i, "u", "x" * (size - bare))
+
+    first = padded(1, W.CHUNK + 1000)
+    records = [first, padded(2, 4 * W.CHUNK - len(first) + inside), *(W.page_record(i, f"v{i}", f"page {i}") for i in range(3, 60))]
+    assert len(records[0]) + len(records[1]) == 4 * W.CHUNK + inside
+    got = list(W.records(io.BytesIO(gzip.compress(b"".join(records)))))
+    assert [r for _, r, _ in got] == records
+    assert all(r.endswith(b"\r\n\r\n" + p + b"\r\n\r\n") for _, r, p in got)
+
+
 @pytest.mark.parametrize(("data", "whole"), [
     (b"", 0),
     (gzip.compress(b""), 0),
