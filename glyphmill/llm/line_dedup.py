@@ -4,10 +4,12 @@ Documents that share a rare line are aligned by patience diff, and the aligned c
 deleted from the later document, the one with the larger ``doc_id``. A line is *rare* if it
 is in two or more documents, but in no more than ``RARE`` of them. Each later document is aligned
 to the first holder of each of its rare lines, so the pairs are at most as many as the lines.
+Common blocks that no alignment has, since they are repeated or in another order, are then found
+by comparing the two documents' runs of lines exactly.
 
 A line in more than ``RARE`` documents needs no alignment to be found: each of its occurrences
-outside its first holder is a common block, alone or with neighbouring lines of that kind. So no
-line drops out for being frequent.
+outside its first holder is a common block, alone or with neighbouring lines of that kind; blank
+lines are no lines here either. So no line drops out for being frequent.
 
 A block is deleted only if it has ``WORDS`` words or more, so that short lines which agree by
 chance stay.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -75,10 +78,44 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _spans(lines: list[int], words: Mapping[int, int], least: int) -> Iterator[tuple[int, int]]:
+    """The (begin, end) of the shortest runs of at least ``least`` words from each line on and up to each line.
+
+    Only lines in ``words`` count, and others end a run. Together these runs cover just the lines
+    of all runs of at least ``least`` words.
+    """
+    size = len(lines)
+    for back in (False, True):
+        given = lines[::-1] if back else lines
+        begin = total = 0
+        for end, line in enumerate(given):
+            if line not in words:
+                begin, total = end + 1, 0
+                continue
+            total += words[line]
+            while begin < end and total - words[given[begin]] >= least:
+                total -= words[given[begin]]
+                begin += 1
+            if total >= least:
+                yield (size - end - 1, size - begin) if back else (begin, end + 1)
+
+
+def common(later: list[int], words: list[int], earlier: list[int], least: int) -> set[int]:
+    """Positions of the later document's lines in any run of at least ``least`` words that the earlier one has.
+
+    Neither the order of the runs nor their number in either document matters.
+    """
+    shared = set(earlier).intersection(later)
+    weigh = {x: n for x, n in zip(later, words, strict=True) if x in shared}
+    have = {tuple(earlier[i:j]) for i, j in _spans(earlier, weigh, least)}
+    return {x for i, j in _spans(later, weigh, least) if tuple(later[i:j]) in have for x in range(i, j)}
+
+
 def blocks(later: list[int], words: list[int], earlier: list[int], least: int) -> list[int]:
-    """Positions of the later document's lines in aligned blocks of at least ``least`` words.
+    """Positions of the later document's lines in common blocks of at least ``least`` words.
 
-    A block is a run of aligned pairs that are neighbours in both documents.
+    A block is a run of equal lines that are neighbours in both documents. The patience diff finds
+    those in order; what it leaves, blocks that are repeated or moved, is compared exactly.
     """
     out: list[int] = []
     run: list[int] = []
@@ -90,7 +127,10 @@ def blocks(later: list[int], words: list[int], earlier: list[int], least: int) -
             run = []
         run.append(i)
         before = (i, j)
-    return sorted(out)
+    found, have = set(out), set(earlier)
+    if any(x in have for i, x in enumerate(later) if i not in found):
+        found |= common(later, words, earlier, least)
+    return sorted(found)
 
 
 def _aligned(least: int):
@@ -118,11 +158,11 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, least: int = WORDS) -> Dat
     """
     base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text")).alias("lines"))
     base = stored(base.where("size(lines) > 0").groupBy("doc_id").agg(F.min("lines").alias("lines")), "lines")
-    each = base.select("doc_id", F.explode("lines").alias("x")).select("doc_id", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.words").alias("words"))
+    each = base.select("doc_id", F.posexplode("lines").alias("nth", "x")).select("doc_id", "nth", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.words").alias("words"))
     shared = each.groupBy("hash", "doc_id").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
     shared = stored(shared, "shared")
 
-    hits = stored(each.join(shared, "hash").where("doc_id <> first").select("doc_id", "hash", "pos", "words", "first", "docs"), "hits")
+    hits = stored(each.join(shared, "hash").where("doc_id <> first").select("doc_id", "hash", "nth", "pos", "words", "first", "docs"), "hits")
     pairs = hits.where(F.col("docs") <= rare).select("doc_id", "first").distinct()
     own = base.select("doc_id", F.col("lines.hash").alias("later"), F.col("lines.words").alias("words"), F.col("lines.pos").alias("places"))
     other = base.select(F.col("doc_id").alias("first"), F.col("lines.hash").alias("earlier"))
@@ -130,8 +170,8 @@ def repeated_lines(docs: DataFrame, rare: int = RARE, least: int = WORDS) -> Dat
     aligned = found.where("size(rows) > 0").select("doc_id", F.explode(F.transform("rows", lambda i: F.get("places", i))).alias("pos"))
 
     frequent = hits.where(F.col("docs") > rare)
-    order = "partition by doc_id order by pos"
-    frequent = frequent.withColumn("island", F.expr(f"pos - row_number() over ({order})"))
+    order = "partition by doc_id order by nth"
+    frequent = frequent.withColumn("island", F.expr(f"nth - row_number() over ({order})"))
     frequent = frequent.withColumn("total", F.expr("sum(words) over (partition by doc_id, island)")).where(F.col("total") >= least).select("doc_id", "pos")
     return aligned.unionByName(frequent).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
 

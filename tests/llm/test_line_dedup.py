@@ -130,6 +130,65 @@ def test_a_short_line_beside_a_passage_is_part_of_its_block(spark):
     assert {r["doc_id"]: r["positions"] for r in L.repeated_lines(table(spark, rows), 1000).collect()} == found
 
 
+def in_common(later, words, earlier, least):
+    """Positions of all common runs of enough words, by trying every pair of begins."""
+    out = set()
+    for i in range(len(later)):
+        for j in range(len(earlier)):
+            n = 0
+            while i + n < len(later) and j + n < len(earlier) and later[i + n] == earlier[j + n]:
+                n += 1
+            if n and sum(words[i : i + n]) >= least:
+                out |= set(range(i, i + n))
+    return sorted(out)
+
+
+def test_blocks_are_all_common_runs():
+    r = random.Random(3)
+    for _ in range(3000):
+        weight = [r.randint(1, 9) for _ in range(8)]
+        a, b = ([r.randrange(8) for _ in range(r.randint(0, 16))] for _ in range(2))
+        words, least = [weight[x] for x in a], r.choice((1, 4, 8, 15))
+        assert L.blocks(a, words, b, least) == in_common(a, words, b, least)
+
+
+def test_repeated_and_moved_blocks_go(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(12)) for x in "ab")
+    texts = [f"start\n{one}\nmid\n{two}\n{one}\nend", f"own\n{one}\nrest", f"{two}\nkept\n{one}\n{two}\nlast", f"{one}\nx\n{one}\ny"]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(texts)]
+    found = {r["doc_id"]: r["positions"] for r in L.repeated_lines(table(spark, rows)).collect()}
+    assert found == {1: [1], 2: [0, 2, 3], 3: [0, 2]}
+
+
+def test_every_later_copy_of_a_long_line_goes(spark):
+    """By looking at all earlier documents, without alignments or first holders."""
+    r = random.Random(4)
+    pool = [" ".join(f"p{k}w{i}" for i in range(r.randint(1, 12))) for k in range(30)]
+    rows = []
+    for d in range(60):
+        lines = [f"own {d} {k}" for k in range(4)] + [r.choice(pool) for _ in range(r.randint(0, 10))] + [""] * r.randrange(3)
+        r.shuffle(lines)
+        rows.append((d, "\n".join(lines), "en", "s", 1))
+    kept = [[(i, normal(x)) for i, x in enumerate(t.split("\n")) if normal(x)] for _, t, *_ in rows]
+    long, some = {}, {}
+    for d, lines in enumerate(kept):
+        own = [x for _, x in lines]
+        before = [[x for _, x in kept[e]] for e in range(d)]
+        long[d] = {i for i, x in lines if len(x.split()) >= L.WORDS and any(x in o for o in before)}
+        some[d] = {lines[i][0] for o in before for i in in_common(own, [len(x.split()) for x in own], o, L.WORDS)}
+    for rare in (L.RARE, 3):
+        got = {x["doc_id"]: set(x["positions"]) for x in L.repeated_lines(table(spark, rows), rare).collect()}
+        assert all(long[d] <= got.get(d, set()) for d in long)
+        assert rare < L.RARE or all(p <= some[d] for d, p in got.items())
+
+
+def test_frequent_lines_are_neighbours_across_blank_lines(spark):
+    rows = [(i, f"own {i}\nfour words of head\n\nfour words of foot\nend {i}", "en", "s", 1) for i in range(1, 9)]
+    for rare in (L.RARE, 3):
+        found = {r["doc_id"]: r["positions"] for r in L.repeated_lines(table(spark, rows), rare).collect()}
+        assert found == {i: [1, 3] for i in range(2, 9)}
+
+
 def test_empty(spark):
     assert L.deduplicate(table(spark, [])).count() == 0
     assert L.repeated_lines(table(spark, [])).count() == 0
