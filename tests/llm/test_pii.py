@@ -36,6 +36,49 @@ def test_values(text, want):
     assert P.redact(text)[0] == want
 
 
+CUE_ENDS = (" ", ": ", " = ", " no. ", " number: ", " Number ", " num ", " nr ", " Nr.: ", " n° ", " numero ", " número: ", " id ", " is ", " number is: ", "_id=", "-number ", "number: ", " no: #")
+
+
+def test_words_between_a_cue_and_its_value():
+    cues = [(c, "ACCOUNT", v) for c in P.ACCOUNT_CUES for v in ("12345678", "1234-5678-90", "123456789012345678")]
+    cues += [(c, "SECRET", v) for c in P.SECRET_CUES for v in ("b7db7aa4a5fcc78305", "is4ab_34-cdef9")]
+    for cue, kind, value in cues:
+        for form in (cue, cue.upper(), cue.title()):
+            for end in CUE_ENDS:
+                assert P.redact(f"see {form}{end}{value}, then")[0] == f"see {form}{end}[{kind}], then"
+
+
+@pytest.mark.parametrize("text", [
+    "account numbering 12345678", "accounts 12345678", "account island 12345678", "account of the 12345678", "account number 12345", "account number 12345678x",
+    "my account number is not here 12345678", "password is important", "password is abcdefghijklmnop", "tokens b7db7aa4a5fcc78305", "account\n12345678",
+])
+def test_other_words_after_a_cue(text):
+    assert P.redact(text) == (text, [])
+
+
+@pytest.mark.parametrize("value", [
+    "CZ6508000000192000145399", "GR1601101250000000012300695", "HU42117730161111101800000000", "TR330006100519786457841326", "RO49AAAA1B31007593840000",
+])
+def test_ibans_of_more_countries(value):
+    spaced = " ".join(value[i : i + 4] for i in range(0, len(value), 4))
+    wrong = value[:-1] + str((int(value[-1]) + 1) % 10)
+    assert P.redact(f"to {value} or {spaced}.")[0] == "to [IBAN] or [IBAN]."
+    assert "iban" not in P.redact(f"to {wrong} or {value}7")[1]
+
+
+def test_ibans_equal_all_substrings():
+    import random
+
+    r = random.Random(2)
+    for _ in range(400):
+        country = r.choice(sorted(P._IBAN))
+        bban = "".join(r.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(P._IBAN[country] - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{bban}{country}00")) % 97
+        text = f"a {country}{(check + r.choice((0, 0, 1))) % 100:02}{bban}{r.choice(('', '', '9'))} z"
+        want = [(i, j, "iban") for i in range(len(text)) for j in range(i + 15, len(text)) if text[i:j].isalnum() and not text[i - 1].isalnum() and not text[j].isalnum() and P._IBAN.get(text[i : i + 2]) == j - i and text[i + 2 : i + 4].isdigit() and int("".join(str(int(c, 36)) for c in text[i + 4 : j] + text[i : i + 4])) % 97 == 1]
+        assert [x for x in P.spans(text) if x[2] == "iban"] == want
+
+
 def test_spans_do_not_overlap():
     text = "http://a@b.example.com/4111111111111111 x@y.org"
     found = P.spans(text)
