@@ -217,10 +217,12 @@ def described(docs: DataFrame) -> DataFrame:
 
 
 def grouping(vectors: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[int, int]]:
-    """(lang, source, g) for each language and source, and the number of documents of each g.
+    """(lang, source, g, judged) for each language and source, and the number of documents of each g.
 
     A pair with fewer documents than ``least`` joins the other small ones of its language; small
-    languages join each other; what is still small then has no estimate and is left out.
+    languages join each other; what is still small then is judged by the estimate of its whole
+    language, or of all documents. For those the other pairs are part of a second g, in which
+    they are not ``judged``. Only a table of fewer than ``least`` documents has no estimate.
     """
     counts = vectors.where("x0 is not null").groupBy("lang", "source").count().collect()
     pools: dict[tuple, list[Row]] = {}
@@ -228,14 +230,23 @@ def grouping(vectors: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[in
         pools.setdefault((0, r["lang"], r["source"]) if r["count"] >= least else (1, r["lang"]), []).append(r)
     for key in [k for k, rows in pools.items() if k[0] == 1 and sum(r["count"] for r in rows) < least]:
         pools.setdefault((2,), []).extend(pools.pop(key))
-    good = [rows for _, rows in sorted(pools.items(), key=lambda x: repr(x[0])) if sum(r["count"] for r in rows) >= least]
-    names = [(r["lang"], r["source"], g) for g, rows in enumerate(good) for r in rows]
-    table = _joined(names, "lang string, source string, g int", vectors.sparkSession)
+    small = pools.pop((2,)) if (2,) in pools and sum(r["count"] for r in pools[2,]) < least else []
+    wider: dict[tuple, list[Row]] = {}
+    for r in small:
+        own = [x for x in counts if x["lang"] == r["lang"]]
+        key, rows = ((3, r["lang"]), own) if sum(x["count"] for x in own) >= least else ((4,), counts)
+        if sum(x["count"] for x in rows) >= least:
+            wider.setdefault(key, rows)
+            pools.setdefault(key, []).append(r)
+    order = sorted(pools, key=repr)
+    good = [wider.get(k, pools[k]) for k in order]
+    names = [(r["lang"], r["source"], g, r in pools[k]) for g, (k, rows) in enumerate(zip(order, good, strict=True)) for r in rows]
+    table = _joined(names, "lang string, source string, g int, judged boolean", vectors.sparkSession)
     return table, {g: sum(r["count"] for r in rows) for g, rows in enumerate(good)}
 
 
 def _grouped(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """The vectors with their group, null for those of none."""
+    """The vectors with each of their groups, null for those of none."""
     names = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g")
     return vectors.join(names, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
 
@@ -312,7 +323,7 @@ def regular(docs: DataFrame, reject: float = REJECT, least: int = LEAST) -> Data
 
     A document goes if its squared distance exceeds the chi-square quantile 1 - ``reject``.
     Defined cases: a null text, and one without a visible character, has no vector and is kept
-    with a null distance, like documents of groups too small for any estimate; null languages and
+    with a null distance, like all of a table too small for any estimate; null languages and
     sources are groups of their own; equal statistics get equal distances, so ties go together;
     repeated rows count as often as they come; a group of one repeated text has a scatter of
     ``FLOOR``; an empty table gives an empty result; other columns play no part.
@@ -321,7 +332,7 @@ def regular(docs: DataFrame, reject: float = REJECT, least: int = LEAST) -> Data
     groups, sizes = grouping(vectors, least)
     estimates = fit(vectors, groups, sizes)
     cutoff = chi_square(1 - reject, P)
-    out = scored(_grouped(vectors, groups), estimates)
+    out = scored(_grouped(vectors, groups.where("judged")), estimates)
     return out.where(F.col("distance").isNull() | (F.col("distance") <= cutoff)).select("doc_id", "lang", "source", "distance", F.lit(cutoff).alias("cutoff"))
 
 
@@ -338,5 +349,5 @@ def keep_regular(docs: DataFrame, reject: float = REJECT, least: int = LEAST) ->
     row, bare = fresh(docs.columns, "row"), ["doc_id", "lang", "source"]
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), statistics("text").alias("v"))
     inner = inner.select(row, *bare[1:], *[F.col("v")[i].alias(f"x{i}") for i in range(P)])
-    out = scored(_grouped(inner, groups), estimates)
+    out = scored(_grouped(inner, groups.where("judged")), estimates)
     return out.where(F.col("distance").isNull() | (F.col("distance") <= cutoff)).select(f"{row}.*")

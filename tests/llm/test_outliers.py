@@ -121,6 +121,31 @@ def test_junk_goes_and_the_rest_stays(spark):
     assert rows_of(out, "doc_id", "text", "n_chars") == sorted(((d, t, n) for d, t, _, _, n in rows if d in kept or d is None), key=repr)
 
 
+def test_what_is_too_small_uses_its_language_then_all(spark):
+    r = random.Random(6)
+    rows, bad = [], set()
+    for i in range(760):
+        lang, source = ("en", "a") if i < 300 else ("en", "new") if i < 350 else ("de", "a") if i < 700 else ("xx", "b")
+        text = ". ".join(words(r, r.randint(5, 12)).capitalize() for _ in range(r.randint(2, 12)))
+        if lang == "xx" or source == "new" and i % 2:
+            text = junk(r, ("symbols", "caps", "stutter", "noise")[i // 2 % 4])
+            bad.add(i)
+        rows.append((i, text, lang, source, len(text)))
+    docs = table(spark, rows)
+    vectors = O.described(docs)
+    groups, sizes = O.grouping(vectors, 150)
+    judged = {(x["lang"], x["source"]): sizes[x["g"]] for x in groups.where("judged").collect()}
+    assert judged == {("en", "a"): 300, ("de", "a"): 350, ("en", "new"): 350, ("xx", "b"): 760}
+    g = next(g for g, n in sizes.items() if n == 760)
+    mean, cov = naive_mcd(np.array([[x[f"x{i}"] for i in range(O.P)] for x in vectors.collect()]))
+    estimate = O.fit(vectors, groups, sizes)[g]
+    assert np.allclose(estimate[0], mean, atol=1e-3) and np.allclose(estimate[1], cov, atol=1e-3)
+    out = O.regular(docs, least=150).collect()
+    assert {x["doc_id"] for x in out} == set(range(760)) - bad
+    assert all(x["distance"] is not None for x in out)
+    assert {x["doc_id"] for x in O.keep_regular(docs, least=150).collect()} == {x["doc_id"] for x in out}
+
+
 def test_small_and_odd_groups(spark):
     out = O.regular(table(spark, awkward()))
     assert out.count() == len(awkward()) and out.where("distance is not null").count() == 0
