@@ -10,10 +10,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 SLICE_BYTES = 1 << 19
 BATCH_BYTES = 8 << 20
+HOT = 10_000  # rows of one key that a task of a shuffle join may hold
+HOT_KEYS = 100_000  # of at most 24 bytes each, for a broadcast
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -67,6 +70,21 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def attached(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFrame:
+    """``rows`` joined with ``groups``, a stored table of one row a key with the ``size`` of each group.
+
+    Keys of more than ``HOT`` rows would each fill a task of a shuffle join. They are at most one in
+    ``HOT`` of the rows; while they number at most ``HOT_KEYS`` they are broadcast, so their rows stay
+    where they are. Beyond that the join is left to the skew splits of adaptive execution.
+    """
+    hot = groups.where(F.col(size) > HOT)
+    number = hot.select(key).limit(HOT_KEYS + 1).count()
+    if number == 0 or number > HOT_KEYS:
+        return rows.join(groups, key)
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(F.col(size) <= HOT), key)
+    return rows.join(F.broadcast(hot), key).unionByName(usual)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the offsets of its rows in them; null is the empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -1,18 +1,18 @@
 """Line deduplication by pairwise alignment.
 
-Documents that share a rare line are aligned by patience diff, and the aligned common blocks are
-deleted from the later document, the one with the larger ``doc_id``. A line is *rare* if it
-is in two or more documents, but in no more than ``RARE`` of them. Each later document is aligned
-to the first holder of each of its rare lines, so the pairs are at most as many as the lines.
-Common blocks that no alignment has, since they are repeated or in another order, are then found
-by comparing the two documents' runs of lines exactly.
-
-A line in more than ``RARE`` documents needs no alignment to be found: each of its occurrences
-outside its first holder is a common block, alone or with neighbouring lines of that kind; blank
-lines are no lines here either. So no line drops out for being frequent.
-
-A block is deleted only if it has ``WORDS`` words or more, so that short lines which agree by
-chance stay.
+Documents that share a rare anchor are aligned by patience diff, and the aligned common blocks are
+deleted from the later document, the one with the larger ``doc_id``. An *anchor* is the hash of a
+shortest run of non-blank lines with at least ``WORDS`` words: mostly one line, several where lines
+are short. Every common block of that many words is covered by anchors that both documents have.
+
+Each later document is aligned to the first holder of each of its anchors, so the pairs are at most
+as many as the anchors, never the square of a group of copies. No overlap is lost by that: if any
+earlier document has a block, it has the anchors that cover it, and the first holders of these
+have them too, so the alignments with those find every line of the block.
+
+An anchor in more than ``RARE`` documents is no longer rare. It needs no alignment, since its own
+lines are the common block. What is deleted is the same for every ``RARE``, which only settles how
+it is found; a block of fewer than ``WORDS`` words stays, so lines which agree by chance are kept.
 """
 
 from __future__ import annotations
@@ -21,16 +21,22 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from .common import fresh, stored
+from .common import attached, fresh, mix, slices, small_batches, stored, token_hashes
 
 RARE = 200
 WORDS = 8
 
+_KEEP = np.arange(256, dtype=np.uint8)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
 
 def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """The aligned positions (in a, in b) of equal lines, by patience diff.
@@ -133,47 +139,129 @@ def blocks(later: list[int], words: list[int], earlier: list[int], least: int) -
     return sorted(found)
 
 
-def _aligned(least: int):
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def run(later: pd.Series, words: pd.Series, earlier: pd.Series) -> pd.Series:
-        return pd.Series([blocks(x.tolist(), w.tolist(), y.tolist(), least) for x, w, y in zip(later, words, earlier, strict=True)], dtype=object)
+def text_lines(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the non-blank lines of a run of texts: hashes of their words, numbers of words, positions
+    in their text, and each text's bounds among them."""
+    word, start, bounds = token_hashes(data, at, fold=_KEEP)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(bounds))
+    breaks = np.concatenate(([0], np.cumsum(data == 10)))
+    line = breaks[start] + row
+    first = np.flatnonzero(np.append(True, line[1:] != line[:-1])) if len(word) else np.zeros(0, np.int64)
+    count = np.diff(first, append=len(word))
+    place = (np.arange(len(word)) - np.repeat(first, count)).astype(np.uint64)
+    hashes = mix(np.add.reduceat(mix(word + place * np.uint64(_BASE)), first) + count.astype(np.uint64)) if len(word) else word
+    return hashes, count, breaks[start[first]] - breaks[at[row[first]]], np.searchsorted(row[first], np.arange(len(at)))
+
+
+def anchors(hashes: np.ndarray, words: np.ndarray, bounds: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, hash) of the shortest runs of at least ``least`` words from each line on and up to
+    each line, none across the bounds of a text."""
+    n = len(hashes)
+    total = np.concatenate(([0], np.cumsum(words)))
+    low, high = (np.repeat(x, np.diff(bounds)) for x in (bounds[:-1], bounds[1:]))
+    each = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + least, "left")
+    on = np.flatnonzero(end <= high)
+    begin = np.searchsorted(total, total[1:] - least, "right") - 1
+    back = np.flatnonzero((total[1:] >= least) & (begin >= low))
+    runs = np.unique(np.concatenate((np.stack([each[on], end[on]]), np.stack([begin[back], each[back] + 1])), axis=1), axis=1)
+    with np.errstate(over="ignore"):
+        power = np.cumprod(np.full(n, _BASE, np.uint64)) if n else np.zeros(0, np.uint64)
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * power, dtype=np.uint64)))
+        inverse = np.cumprod(np.full(n, _BACK, np.uint64)) if n else power
+        i, j = runs
+        return i, j, mix((sums[j] - sums[i]) * inverse[i] + (j - i).astype(np.uint64))
+
+
+def _nested(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
+def _features(least: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, data, at in slices(batch.column("text")):
+                hashes, words, places, bounds = text_lines(data, at)
+                begin, _, found = anchors(hashes, words, bounds, least)
+                owner = np.searchsorted(bounds, begin, "right") - 1
+                order = np.lexsort((found, owner))
+                owner, found = owner[order], found[order]
+                new = np.append(True, (owner[1:] != owner[:-1]) | (found[1:] != found[:-1])) if len(found) else np.zeros(0, bool)
+                owner, found = owner[new], found[new]
+                part = batch.slice(first, len(at) - 1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("doc_id"),
+                        part.column("fp"),
+                        _nested(hashes.view(np.int64), bounds, pa.int64()),
+                        _nested(words, bounds, pa.int32()),
+                        _nested(places, bounds, pa.int32()),
+                        _nested(found.view(np.int64), np.searchsorted(owner, np.arange(len(at))), pa.int64()),
+                    ],
+                    ["doc_id", "fp", "lines", "words", "places", "anchors"],
+                )
 
     return run
 
 
-def _lines(text: Column) -> Column:
-    """The non-blank lines of a text: (position, hash of the trimmed line, words)."""
-    numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("pos"), F.trim(F.regexp_replace(x, r"\s+", " ")).alias("line")))
-    kept = F.filter(numbered, lambda x: x["line"] != "")
-    return F.transform(kept, lambda x: F.struct(x["pos"].alias("pos"), F.xxhash64(x["line"]).alias("hash"), (F.length(x["line"]) - F.length(F.replace(x["line"], F.lit(" "))) + 1).alias("words")))
+def _deleted(least: int):
+    """Positions in the later text that an alignment with ``earlier`` finds, or that anchors in ``hot`` cover."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def run(later: pd.Series, words: pd.Series, places: pd.Series, earlier: pd.Series, hot: pd.Series) -> pd.Series:
+        out = []
+        for x, w, p, y, h in zip(later, words, places, earlier, hot, strict=True):
+            if y is not None:
+                rows = blocks(x.tolist(), w.tolist(), y.tolist(), least)
+            else:
+                i, j, found = anchors(x.view(np.uint64), w, np.array([0, len(x)]), least)
+                hit = np.isin(found.view(np.int64), h)
+                edge = np.zeros(len(x) + 1, np.int64)
+                np.add.at(edge, i[hit], 1)
+                np.add.at(edge, j[hit], -1)
+                rows = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+            out.append(p[rows])
+        return pd.Series(out, dtype=object)
+
+    return run
 
 
 def repeated_lines(docs: DataFrame, rare: int = RARE, least: int = WORDS) -> DataFrame:
-    """(doc_id, positions): the lines of each document that an earlier one has in a common block.
+    """(doc_id, fp, positions): the lines of each text that an earlier document has in a common block.
 
-    Positions count the text's lines from 0, blank ones included; documents without any are left
-    out. Lines are equal if they are equal after collapsing white space. Defined cases: a null
-    ``doc_id`` or text has no lines here; an empty table gives an empty result; of repeated rows
-    of a ``doc_id`` the smallest text counts; other columns play no part.
+    Positions count the text's lines from 0, blank ones included; texts without any are left out.
+    ``fp`` is the text's ``xxhash64``. Lines are equal if their words between ASCII white space are,
+    and are compared by 64-bit hashes. Defined cases: a null ``doc_id`` or text has no lines here; an
+    empty table gives an empty result; rows of one ``doc_id`` are none earlier than the other, each
+    is compared with all rows of smaller ids; equal rows give one row; other columns play no part.
     """
-    base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _lines(F.col("text")).alias("lines"))
-    base = stored(base.where("size(lines) > 0").groupBy("doc_id").agg(F.min("lines").alias("lines")), "lines")
-    each = base.select("doc_id", F.posexplode("lines").alias("nth", "x")).select("doc_id", "nth", F.col("x.hash").alias("hash"), F.col("x.pos").alias("pos"), F.col("x.words").alias("words"))
-    shared = each.groupBy("hash", "doc_id").agg(F.count("*").alias("n")).groupBy("hash").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where("docs > 1")
-    shared = stored(shared, "shared")
-
-    hits = stored(each.join(shared, "hash").where("doc_id <> first").select("doc_id", "hash", "nth", "pos", "words", "first", "docs"), "hits")
-    pairs = hits.where(F.col("docs") <= rare).select("doc_id", "first").distinct()
-    own = base.select("doc_id", F.col("lines.hash").alias("later"), F.col("lines.words").alias("words"), F.col("lines.pos").alias("places"))
-    other = base.select(F.col("doc_id").alias("first"), F.col("lines.hash").alias("earlier"))
-    found = pairs.join(other, "first").join(own, "doc_id").select("doc_id", "places", _aligned(least)("later", "words", "earlier").alias("rows"))
-    aligned = found.where("size(rows) > 0").select("doc_id", F.explode(F.transform("rows", lambda i: F.get("places", i))).alias("pos"))
-
-    frequent = hits.where(F.col("docs") > rare)
-    order = "partition by doc_id order by nth"
-    frequent = frequent.withColumn("island", F.expr(f"nth - row_number() over ({order})"))
-    frequent = frequent.withColumn("total", F.expr("sum(words) over (partition by doc_id, island)")).where(F.col("total") >= least).select("doc_id", "pos")
-    return aligned.unionByName(frequent).groupBy("doc_id").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+    small_batches(docs.sparkSession)
+    base = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("fp"), "text")
+    made = base.mapInArrow(_features(least), "doc_id long, fp long, lines array<long>, words array<int>, places array<int>, anchors array<long>")
+    texts = stored(made.where("size(anchors) > 0"), "lines")
+    each = texts.select("doc_id", "fp", F.explode("anchors").alias("hash"))
+    shared = stored(each.groupBy("hash").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first")).where("docs > 1"), "shared")
+
+    hits = stored(attached(each, shared, "hash", "docs").where("doc_id > first").select("doc_id", "fp", "first", F.when(F.col("docs") > rare, F.col("hash")).alias("hot")), "hits")
+    pairs = hits.where("hot is null").select("doc_id", "fp", "first").distinct()
+    other = texts.select(F.col("doc_id").alias("first"), F.col("lines").alias("earlier"))
+    none = F.lit(None).cast("array<long>")
+    tasks = pairs.join(other, "first").select("doc_id", "fp", "earlier", none.alias("hot"))
+    covered = hits.where("hot is not null").groupBy("doc_id", "fp").agg(F.collect_set("hot").alias("hot")).select("doc_id", "fp", none.alias("earlier"), "hot")
+    own = texts.dropDuplicates(["doc_id", "fp"]).select("doc_id", "fp", "lines", "words", "places")
+    found = tasks.unionByName(covered).join(own, ["doc_id", "fp"]).select("doc_id", "fp", F.explode(_deleted(least)("lines", "words", "places", "earlier", "hot")).alias("pos"))
+    return found.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_set("pos")).alias("positions"))
+
+
+def _without(texts: pa.Array, gone: pa.Array) -> pa.Array:
+    out: list[str | None] = []
+    for text, drop in zip(texts.to_pylist(), gone.to_pylist(), strict=True):
+        if drop is None:
+            out.append(None)
+            continue
+        away = set(drop)
+        out.append("\n".join(x for i, x in enumerate(text.split("\n")) if i not in away))
+    return pa.array(out, pa.string())
 
 
 def deduplicate(docs: DataFrame, rare: int = RARE, least: int = WORDS, drop_empty: bool = False, count: str | None = None) -> DataFrame:
@@ -181,16 +269,15 @@ def deduplicate(docs: DataFrame, rare: int = RARE, least: int = WORDS, drop_empt
 
     All columns stay; ``n_chars``, if there is one, follows the text. ``count`` names a column to
     add with the number of deleted lines. With ``drop_empty``, documents of which no word is left
-    after a deletion go. A row that loses nothing is returned unchanged, nulls included; repeated
-    rows of a ``doc_id`` lose the same positions.
+    after a deletion go. A row that loses nothing is returned unchanged, nulls included.
     """
-    key, gone, kept = (fresh(docs.columns, x) for x in ("key", "gone", "kept"))
-    marks = repeated_lines(docs, rare, least).select(F.col("doc_id").alias(key), F.col("positions").alias(gone))
-    out = docs.join(marks, docs["doc_id"] == F.col(key), "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(gone, i), x)), lambda x: x.isNotNull()), "\n")
-    out = out.withColumn(kept, F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    key, print_, gone, kept = (fresh(docs.columns, x) for x in ("key", "fp", "gone", "kept"))
+    marks = repeated_lines(docs, rare, least).select(F.col("doc_id").alias(key), F.col("fp").alias(print_), F.col("positions").alias(gone))
+    out = docs.join(marks, (docs["doc_id"] == F.col(key)) & (F.xxhash64(docs["text"]) == F.col(print_)), "left")
+    cut = F.arrow_udf(_without, StringType()).asNondeterministic()
+    out = out.withColumn(kept, cut(F.when(F.col(gone).isNotNull(), F.col("text")), F.col(gone)))
     if drop_empty:
         out = out.where(F.col(gone).isNull() | F.col(kept).rlike(r"\S"))
-    columns = [F.col(kept).alias("text") if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(kept)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(kept))
+    columns = [text.alias("text") if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(kept)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns, *([F.coalesce(F.size(gone), F.lit(0)).alias(count)] if count else []))
