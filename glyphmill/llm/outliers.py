@@ -5,13 +5,24 @@ and source the minimum covariance determinant estimate gives a centre and a scat
 minority of odd documents cannot bend, and documents far from the centre by Mahalanobis distance
 are rejected.
 
-The estimate is computed over all documents, by aggregations alone. Concentration steps start from
-two robust guesses (medians with squared median deviations, and the same scaled correlation of
-spatial signs); in each, a histogram of log distances per group tells the radius that holds at
-least half of the group, and the mean and covariance of the documents within it are the next guess.
-The start whose covariance has the smaller determinant goes on until the radius stands still;
-then a last reweighting takes all documents within the 97.5 % quantile. What is collected has one row
-per group, so it grows with the number of languages and sources, not of documents.
+Concentration steps start from two robust guesses (medians with squared median deviations, and
+the same scaled correlation of spatial signs). In each, a histogram of log distances tells the
+radius that holds at least half of the group, and the mean and covariance of the documents within
+it are the next guess, until the radius stands still or the determinant falls no more. The better
+of the two ends is scaled to the normal distribution and reweighted by all documents within its 97.5 %
+quantile.
+
+The estimate of a small group is uncertain, so every language and source has its own estimate
+combined with that of its whole language, which counts for ``PRIOR`` documents, and that one
+likewise with the estimate of all documents: the posterior mean under a normal inverse Wishart
+prior. A group of ten documents thus mostly follows its language and one of ten thousand itself, with
+no size at which the rule changes. The estimate of all is combined with a scatter of one, worth
+``P`` documents, so that a handful of documents rejects none of its own.
+
+Groups of up to ``LOCAL`` documents are estimated each by one task, from at most so many vectors;
+larger ones by aggregations over all tasks, one pass a step: the moments of each histogram bin are
+summed, so that the radius and the next guess come from the same rows. Both follow the same steps.
+The estimates are rows of tables; nothing of them is collected.
 """
 
 from __future__ import annotations
@@ -24,20 +35,22 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from .common import fresh, mix, slices, small_batches, stored, token_hashes
+from .common import attached, fresh, mix, slices, small_batches, stored, token_hashes
 
 STATISTICS = ("upper", "symbols", "digits", "word_length", "punctuation", "line_repeats", "word_repeats")
 P = len(STATISTICS)
 REJECT = 1e-6  # chance that a regular document of a normal group is rejected
-LEAST = 30 * P  # smaller groups share the estimate of their language, then of all
-STEPS = 12
+PRIOR = 30 * P  # documents that the estimate of a language counts for in that of its sources
+LOCAL = 16_384  # vectors of a group, of 64 bytes each, that one task may hold
 BINS = 400
+NEAR = 8  # bins to both sides of the last radius whose moments are kept apart in a step
 FLOOR = 0.1  # least standard deviation of a transformed statistic
-BROADCAST_ROWS = 20_000  # tables of groups with more rows (of up to 360 bytes) are joined by a shuffle instead
+BROADCAST_ROWS = 20_000  # tables of groups with more rows (of up to 400 bytes) are joined by a shuffle instead
 
 LETTER, UPPER, DIGIT, SPACE, STOP, SYMBOL = range(6)
 
@@ -171,183 +184,273 @@ def edge_of(bin_: int) -> float:
 
 
 _PAIRS = [(i, j) for i in range(P) for j in range(i, P)]
+_X, _M, _W = [f"x{i}" for i in range(P)], [f"m{i}" for i in range(P)], [f"w{i}_{j}" for i, j in _PAIRS]
+_TERMS = [f"{1 if i == j else 2} * w{i}_{j} * (x{i} - m{i}) * (x{j} - m{j})" for i, j in _PAIRS]
+_DISTANCE = "greatest(0D, " + " + ".join(_TERMS) + ")"  # the squared Mahalanobis distance
+_BIN = f"cast(greatest(0, least({BINS - 1}, floor((log10(d + 1e-300) + 4) * {BINS / 12}))) as int)"
+_SUMS = ["cast(count(*) as double)", *[f"sum(x{i} - m{i})" for i in range(P)], *[f"sum((x{i} - m{i}) * (x{j} - m{j}))" for i, j in _PAIRS]]
+Estimate = tuple[np.ndarray, np.ndarray]
 
 
-def _distance() -> str:
-    """The squared Mahalanobis distance of x0.. from the parameters m0.., w<i>_<j> of a row."""
-    terms = [f"{1 if i == j else 2} * w{i}_{j} * (x{i} - m{i}) * (x{j} - m{j})" for i, j in _PAIRS]
-    return "greatest(0D, " + " + ".join(terms) + ")"
+def _doubles(names: list[str]) -> str:
+    return ", ".join(f"{c} double" for c in names)
 
 
-_M, _W, _C = [f"m{i}" for i in range(P)], [f"w{i}_{j}" for i, j in _PAIRS], [f"c{i}" for i in range(P)]
-_BIN = f"cast(greatest(0, least({BINS - 1}, floor((log10(d + 1e-300) + 4) * {BINS / 12}))) as int)"
-_SUMS = {f"s{i}": f"sum(x{i} - c{i})" for i in range(P)} | {f"q{i}_{j}": f"sum((x{i} - c{i}) * (x{j} - c{j}))" for i, j in _PAIRS}
-Estimate = tuple[np.ndarray, np.ndarray]
+_STATE = f"g long, k int, n long, done boolean, det double, bin int, low int, high int, {_doubles([*_M, *_W])}"
+_OWN = "g long, n long, mean array<double>, cov array<double>"
 
 
-def _joined(rows: list[tuple], schema: str, spark: SparkSession) -> DataFrame:
-    """A table of one row a group, broadcast in joins as long as it is small."""
-    table = spark.createDataFrame(rows, schema)
-    return F.broadcast(table) if len(rows) <= BROADCAST_ROWS else table
+def _upper(matrix: np.ndarray) -> list[float]:
+    return [float(matrix[i, j]) for i, j in _PAIRS]
 
 
-def _table(spark: SparkSession, estimates: dict[tuple[int, int], Estimate], centre: dict[int, np.ndarray], radius: dict[tuple[int, int], float]) -> DataFrame:
-    """The parameters of each (group, start), one row each."""
-    rows = []
-    for (g, k), (mean, cov) in sorted(estimates.items()):
-        inverse = np.linalg.inv(cov)
-        rows.append((g, k, radius.get((g, k), math.inf), *map(float, mean), *(float(inverse[i, j]) for i, j in _PAIRS), *map(float, centre[g])))
-    return _joined(rows, "g int, k int, radius double, " + ", ".join(f"{c} double" for c in (*_M, *_W, *_C)), spark)
+def _matrix(upper) -> np.ndarray:
+    out = np.zeros((P, P))
+    for (i, j), x in zip(_PAIRS, upper, strict=True):
+        out[i, j] = out[j, i] = x
+    return out
 
 
-def _moments(row: Row, centre: np.ndarray) -> Estimate:
-    n = row["n"]
-    mean = np.array([row[f"s{i}"] for i in range(P)]) / n
-    cov = np.zeros((P, P))
-    for i, j in _PAIRS:
-        cov[i, j] = cov[j, i] = row[f"q{i}_{j}"] / n - mean[i] * mean[j]
-    return centre + mean, solid(cov)
+def _moments(sums: np.ndarray, mean: np.ndarray) -> Estimate:
+    """Mean and covariance from a row of ``_SUMS`` about ``mean``."""
+    n, shift = sums[0], sums[1 : P + 1] / sums[0]
+    return mean + shift, solid(_matrix(sums[P + 1 :]) / n - np.outer(shift, shift))
 
 
-def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, x0..): the vectors of the documents that have one, stored."""
-    small_batches(docs.sparkSession)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), statistics("text").alias("v"))
-    return stored(out.select("doc_id", "lang", "source", *[F.col("v")[i].alias(f"x{i}") for i in range(P)]), "vectors")
+def half(n: int) -> int:
+    """How many of n documents the estimate rests on; since scatters have a floor, half will do in groups of few too."""
+    return (n + 1) // 2
 
 
-def grouping(vectors: DataFrame, least: int = LEAST) -> tuple[DataFrame, dict[int, int]]:
-    """(lang, source, g, judged) for each language and source, and the number of documents of each g.
+def starts(median: np.ndarray, deviation: np.ndarray, signs: np.ndarray) -> list[Estimate]:
+    """The two first guesses, from medians, scaled median deviations and the mean product of signs."""
+    spread = np.maximum(deviation, FLOOR)
+    scale = np.sqrt(np.maximum(np.diag(signs), 1e-12))
+    return [(median, np.diag(spread**2)), (median, solid(signs / np.outer(scale, scale) * np.outer(spread, spread)))]
+
+
+def scaled(mean: np.ndarray, cov: np.ndarray, bin_: int) -> Estimate:
+    """Consistent at the normal distribution: the radius of half the documents is the chi-square median."""
+    return (mean, solid(cov * min(1e6, edge_of(bin_) / chi_square(0.5, P)))) if bin_ < BINS - 1 else (mean, cov)
 
-    A pair with fewer documents than ``least`` joins the other small ones of its language; small
-    languages join each other; what is still small then is judged by the estimate of its whole
-    language, or of all documents. For those the other pairs are part of a second g, in which
-    they are not ``judged``. Only a table of fewer than ``least`` documents has no estimate.
-    """
-    counts = vectors.where("x0 is not null").groupBy("lang", "source").count().collect()
-    pools: dict[tuple, list[Row]] = {}
-    for r in counts:
-        pools.setdefault((0, r["lang"], r["source"]) if r["count"] >= least else (1, r["lang"]), []).append(r)
-    for key in [k for k, rows in pools.items() if k[0] == 1 and sum(r["count"] for r in rows) < least]:
-        pools.setdefault((2,), []).extend(pools.pop(key))
-    small = pools.pop((2,)) if (2,) in pools and sum(r["count"] for r in pools[2,]) < least else []
-    wider: dict[tuple, list[Row]] = {}
-    for r in small:
-        own = [x for x in counts if x["lang"] == r["lang"]]
-        key, rows = ((3, r["lang"]), own) if sum(x["count"] for x in own) >= least else ((4,), counts)
-        if sum(x["count"] for x in rows) >= least:
-            wider.setdefault(key, rows)
-            pools.setdefault(key, []).append(r)
-    order = sorted(pools, key=repr)
-    good = [wider.get(k, pools[k]) for k in order]
-    names = [(r["lang"], r["source"], g, r in pools[k]) for g, (k, rows) in enumerate(zip(order, good, strict=True)) for r in rows]
-    table = _joined(names, "lang string, source string, g int, judged boolean", vectors.sparkSession)
-    return table, {g: sum(r["count"] for r in rows) for g, rows in enumerate(good)}
-
-
-def _grouped(vectors: DataFrame, groups: DataFrame) -> DataFrame:
-    """The vectors with each of their groups, null for those of none."""
-    names = groups.select(F.col("lang").alias("gl"), F.col("source").alias("gs"), "g")
-    return vectors.join(names, F.col("lang").eqNullSafe(F.col("gl")) & F.col("source").eqNullSafe(F.col("gs")), "left").drop("gl", "gs")
-
-
-def fit(vectors: DataFrame, groups: DataFrame, sizes: dict[int, int], steps: int = STEPS) -> dict[int, Estimate]:
-    """The reweighted MCD centre and scatter of each group."""
-    if not sizes:
-        return {}
-    spark = vectors.sparkSession
-    points = stored(_grouped(vectors.where("x0 is not null"), groups).where("g is not null").select("g", *[f"x{i}" for i in range(P)]), "points")
-    need = {g: (n + P + 1) // 2 for g, n in sizes.items()}
-
-    medians = points.groupBy("g").agg(*[F.percentile_approx(f"x{i}", 0.5, 10000).alias(f"c{i}") for i in range(P)])
-    centre = {r["g"]: np.array([r[c] for c in _C]) for r in medians.collect()}
-    middle = _joined([(g, *map(float, c)) for g, c in centre.items()], "g int, " + ", ".join(f"{c} double" for c in _C), spark)
-    spreads = points.join(middle, "g").groupBy("g").agg(*[F.percentile_approx(F.abs(F.expr(f"x{i} - c{i}")), 0.5, 10000).alias(f"c{i}") for i in range(P)])
-    spread = {r["g"]: np.maximum(1.4826 * np.array([r[c] for c in _C]), FLOOR) for r in spreads.collect()}
-    estimates: dict[tuple[int, int], Estimate] = {(g, 0): (centre[g], np.diag(spread[g] ** 2)) for g in sizes}
-
-    # the second start: the signs' correlation, with the same scales
-    scaled = _joined([(g, *map(float, centre[g]), *map(float, spread[g])) for g in sizes], "g int, " + ", ".join(f"{c} double" for c in [*_C, *_M]), spark)
-    signs = points.join(scaled, "g").select("g", *[F.expr(f"(x{i} - c{i}) / m{i}").alias(f"y{i}") for i in range(P)])
-    signs = signs.withColumn("r", F.expr("sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(P)) + ") + 1e-12"))
-    for r in signs.groupBy("g").agg(F.count("*").alias("n"), *[F.sum(F.expr(f"y{i} * y{j} / (r * r)")).alias(f"q{i}_{j}") for i, j in _PAIRS]).collect():
-        sign = np.zeros((P, P))
-        for i, j in _PAIRS:
-            sign[i, j] = sign[j, i] = r[f"q{i}_{j}"] / r["n"]
-        scale = np.sqrt(np.maximum(np.diag(sign), 1e-12))
-        estimates[r["g"], 1] = (centre[r["g"]], solid(sign / np.outer(scale, scale) * np.outer(spread[r["g"]], spread[r["g"]])))
-
-    def within(estimates: dict[tuple[int, int], Estimate], radius: dict[tuple[int, int], float]) -> dict[tuple[int, int], Estimate]:
-        near = points.join(_table(spark, estimates, centre, radius), "g").where(f"{_distance()} <= radius")
-        return {(r["g"], r["k"]): _moments(r, centre[r["g"]]) for r in near.groupBy("g", "k").agg(F.count("*").alias("n"), *[F.expr(x).alias(name) for name, x in _SUMS.items()]).collect()}
-
-    def radii(estimates: dict[tuple[int, int], Estimate]) -> dict[tuple[int, int], float]:
-        """For each (group, start) the least bin edge within which half of the group lies."""
-        bins = points.join(_table(spark, estimates, centre, {}), "g").select("g", "k", F.expr(_distance()).alias("d")).groupBy("g", "k", F.expr(_BIN).alias("bin")).count()
-        running = bins.withColumn("total", F.expr("sum(count) over (partition by g, k order by bin)"))
-        wanted = running.join(_joined(list(need.items()), "g int, need long", spark), "g").where("total >= need").groupBy("g", "k").agg(F.min("bin").alias("bin"))
-        return {(r["g"], r["k"]): edge_of(r["bin"]) if r["bin"] < BINS - 1 else math.inf for r in wanted.collect()}
-
-    before: dict[tuple[int, int], float] = {}
-    for step in range(steps):
-        radius = radii(estimates)
-        if step and radius == before:
-            break
-        estimates, before = within(estimates, radius), radius
-        if step == 2:  # the better of the two starts goes on
-            best = {g: min((k for k in (0, 1) if (g, k) in estimates), key=lambda k, g=g: (float(np.linalg.slogdet(estimates[g, k][1])[1]), k)) for g in sizes}
-            estimates = {(g, k): estimates[g, k] for g, k in best.items()}
-    radius = radii(estimates)
-    # consistency at the normal distribution: the radius of half the documents is the chi-square median
-    middle_ = chi_square(0.5, P)
-    usual = {k: (m, solid(c * min(1e6, radius[k] / middle_))) if math.isfinite(radius[k]) else (m, c) for k, (m, c) in estimates.items()}
-    final = within(usual, {k: chi_square(0.975, P) for k in usual})
-    return {g: final.get((g, k), usual[g, k]) for g, k in usual}
 
+def _products(x: np.ndarray) -> np.ndarray:
+    """The ``_SUMS`` of each row of centred vectors by itself."""
+    return np.concatenate([np.ones((len(x), 1)), x, np.stack([x[:, i] * x[:, j] for i, j in _PAIRS], axis=1)], axis=1)
 
-def scored(rows: DataFrame, estimates: dict[int, Estimate]) -> DataFrame:
-    """Adds ``distance``, the squared distance of rows with g and x0.., null where there is no estimate."""
-    spark = rows.sparkSession
-    if not estimates:
-        return rows.withColumn("distance", F.lit(None).cast("double"))
-    table = _table(spark, {(g, 0): e for g, e in estimates.items()}, {g: e[0] for g, e in estimates.items()}, {}).select("g", *_M, *_W)
-    return rows.join(table, "g", "left").withColumn("distance", F.expr(_distance_or_null())).drop(*_M, *_W)
 
+def _squared(x: np.ndarray, cov: np.ndarray) -> np.ndarray:
+    return np.maximum(0, np.einsum("ij,jk,ik->i", x, np.linalg.inv(cov), x))
 
-def _distance_or_null() -> str:
-    return f"case when m0 is not null and x0 is not null then {_distance()} end"
 
+def fit_points(x: np.ndarray) -> Estimate:
+    """The reweighted MCD centre and scatter of the rows of an array."""
+    n = len(x)
+    median = np.sort(x, axis=0)[(n - 1) // 2]
+    deviation = np.maximum(1.4826 * np.sort(np.abs(x - median), axis=0)[(n - 1) // 2], FLOOR)
+    y = (x - median) / deviation
+    y = y / (np.sqrt((y * y).sum(axis=1)) + 1e-12)[:, None]
+    ends = []
+    for k, (mean, cov) in enumerate(starts(median, deviation, y.T @ y / n)):
+        det, last = math.inf, -1
+        while True:
+            d = _squared(x - mean, cov)
+            bins = np.clip(np.floor((np.log10(d + 1e-300) + 4) * (BINS / 12)), 0, BINS - 1).astype(int)
+            at = int(np.searchsorted(np.cumsum(np.bincount(bins, minlength=BINS)), half(n)))
+            if at == last:
+                break
+            new, scatter = _moments(_products(x[bins <= at] - mean).sum(axis=0), mean)
+            less = float(np.linalg.slogdet(scatter)[1])
+            if less > det - 1e-9:
+                break
+            mean, cov, det, last = new, scatter, less, at
+        ends.append((det, k, at, mean, cov))
+    _, _, at, mean, cov = min(ends, key=lambda e: e[:2])
+    mean, cov = scaled(mean, cov, at)
+    near = x[_squared(x - mean, cov) <= chi_square(0.975, P)]
+    return _moments(_products(near - mean).sum(axis=0), mean) if len(near) else (mean, cov)
 
-def regular(docs: DataFrame, reject: float = REJECT, least: int = LEAST) -> DataFrame:
+
+def _key(level: int, *columns: Column) -> Column:
+    """The number of a group; nulls are a value of their own."""
+    return F.xxhash64(F.lit(level), *[x for c in columns for x in (c.isNull(), F.coalesce(c, F.lit("")))])
+
+
+def described(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(doc_id, lang, source, g0, g1, g2, x0..): the documents' vectors and the numbers of their groups
+    (all, language, language and source), stored; ``row`` names a column to add with the whole rows."""
+    small_batches(docs.sparkSession)
+    lang, source = F.col("lang").cast("string"), F.col("source").cast("string")
+    whole = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row)] if row else []
+    out = docs.select(*whole, F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), source.alias("source"), statistics("text").alias("v"))
+    groups = [_key(0).alias("g0"), _key(1, F.col("lang")).alias("g1"), _key(2, F.col("lang"), F.col("source")).alias("g2")]
+    return stored(out.select(*([row] if row else []), "doc_id", "lang", "source", *groups, *[F.col("v")[i].alias(f"x{i}") for i in range(P)]), "vectors")
+
+
+def _by_group(rows: DataFrame, table: DataFrame, groups: int) -> DataFrame:
+    """Rows joined with a table of one row a group, which has the group's size as ``n``."""
+    return rows.join(F.broadcast(table), "g") if groups <= BROADCAST_ROWS else attached(rows, table, "g", "n")
+
+
+def _local(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    mean, cov = fit_points(rows[_X].to_numpy(np.float64))
+    return pd.DataFrame({"g": [key[0]], "n": [len(rows)], "mean": [mean.tolist()], "cov": [_upper(cov)]})
+
+
+def _first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The states that the two starts of each group begin with."""
+    for part in batches:
+        out = []
+        for r in part.to_dict("records"):
+            for k, (mean, cov) in enumerate(starts(np.array(r["median"]), np.array(r["deviation"]), _matrix(r["signs"]))):
+                out.append((r["g"], k, r["n"], False, math.inf, -1, 0, BINS - 1, *mean.tolist(), *_upper(np.linalg.inv(cov))))
+        yield pd.DataFrame(out, columns=[x.split()[0] for x in _STATE.split(", ")])
+
+
+def _advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A concentration step of each state, from the sums of its bins."""
+    names = [x.split()[0] for x in _STATE.split(", ")]
+    for part in batches:
+        out = []
+        for r in part.to_dict("records"):
+            sums = np.stack(r["sums"]) if r["sums"] is not None and len(r["sums"]) else np.zeros((0, 2 + P + len(_PAIRS)))
+            sums = sums[np.argsort(sums[:, 0])]
+            at = int(np.searchsorted(np.cumsum(sums[:, 1]), half(int(r["n"]))))
+            bin_ = int(sums[at, 0]) if at < len(sums) else BINS
+            if bin_ > r["high"] or bin_ <= r["low"] and r["low"] > 0:  # not among the bins looked at apart
+                r["low"], r["high"] = 0, BINS - 1
+            elif bin_ == r["bin"]:
+                r["done"] = True
+            else:
+                mean, cov = _moments(sums[: at + 1, 1:].sum(axis=0), np.array([r[c] for c in _M]))
+                det = float(np.linalg.slogdet(cov)[1])
+                if det > r["det"] - 1e-9:
+                    r["done"], r["bin"] = True, bin_
+                else:
+                    r |= {"det": det, "bin": bin_, "low": max(0, bin_ - NEAR), "high": min(BINS - 1, bin_ + NEAR)}
+                    r |= dict(zip(_M, mean.tolist(), strict=True)) | dict(zip(_W, _upper(np.linalg.inv(cov)), strict=True))
+            out.append(tuple(r[c] for c in names))
+        yield pd.DataFrame(out, columns=names)
+
+
+def _usual(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        for i, r in enumerate(part.to_dict("records")):
+            _, cov = scaled(np.zeros(P), np.linalg.inv(_matrix([r[c] for c in _W])), int(r["bin"]))
+            part.loc[part.index[i], _W] = _upper(np.linalg.inv(cov))
+        yield part
+
+
+def _reweighted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for part in batches:
+        out = []
+        for r in part.to_dict("records"):
+            mean, cov = np.array([r[c] for c in _M]), np.linalg.inv(_matrix([r[c] for c in _W]))
+            if r["sums"] is not None:
+                mean, cov = _moments(np.array(r["sums"]), mean)
+            out.append((r["g"], r["n"], mean.tolist(), _upper(cov)))
+        yield pd.DataFrame(out, columns=["g", "n", "mean", "cov"])
+
+
+def _spread(points: DataFrame, groups: int) -> DataFrame:
+    """(g, n, mean, cov) of the groups of ``points`` (g, n, x0..) by aggregations."""
+    medians = stored(points.groupBy("g").agg(F.first("n").alias("n"), *[F.percentile_approx(x, 0.5, 10000).alias(m) for x, m in zip(_X, _M, strict=True)]), "medians")
+    rows = points.drop("n")
+    away = [F.percentile_approx(F.abs(F.col(x) - F.col(m)), 0.5, 10000).alias(f"d{i}") for i, (x, m) in enumerate(zip(_X, _M, strict=True))]
+    spreads = _by_group(rows, medians, groups).groupBy("g").agg(*away)
+    spreads = stored(medians.join(spreads, "g").select("g", "n", *_M, *[F.greatest(F.lit(FLOOR), 1.4826 * F.col(f"d{i}")).alias(f"d{i}") for i in range(P)]), "spreads")
+    signs = _by_group(rows, spreads, groups).select("g", *[F.expr(f"(x{i} - m{i}) / d{i}").alias(f"y{i}") for i in range(P)])
+    signs = signs.withColumn("r", F.expr("sqrt(" + " + ".join(f"y{i} * y{i}" for i in range(P)) + ") + 1e-12"))
+    signs = signs.groupBy("g").agg(F.array(*[F.avg(F.expr(f"y{i} * y{j} / (r * r)")) for i, j in _PAIRS]).alias("signs"))
+    first = spreads.join(signs, "g").select("g", "n", F.array(*_M).alias("median"), F.array(*[f"d{i}" for i in range(P)]).alias("deviation"), "signs")
+    state = stored(first.mapInPandas(_first, _STATE), "states")
+    while True:
+        live = state.where("not done")
+        near = _by_group(rows, live, 2 * groups).withColumn("d", F.expr(_DISTANCE)).withColumn("at", F.expr(_BIN)).where("at <= high")
+        sums = near.groupBy("g", "k", F.greatest("at", "low").alias("at")).agg(F.array(*map(F.expr, _SUMS)).alias("sums"))
+        sums = sums.groupBy("g", "k").agg(F.collect_list(F.concat(F.array(F.col("at").cast("double")), "sums")).alias("sums"))
+        moved = live.join(sums, ["g", "k"], "left").mapInPandas(_advance, _STATE)
+        state = stored(moved.unionByName(state.where("done")), "states")
+        if state.where("not done").isEmpty():
+            break
+    better = F.row_number().over(Window.partitionBy("g").orderBy("det", "k"))
+    best = stored(state.withColumn("place", better).where("place = 1").drop("place").mapInPandas(_usual, _STATE), "states")
+    near = _by_group(rows, best, groups).where(f"{_DISTANCE} <= {chi_square(0.975, P)!r}").groupBy("g").agg(F.array(*map(F.expr, _SUMS)).alias("sums"))
+    return best.join(near, "g", "left").mapInPandas(_reweighted, _OWN)
+
+
+def fit(vectors: DataFrame, local: int = LOCAL) -> DataFrame:
+    """(g, n, mean, cov): the reweighted MCD estimate of each group of each level by itself, stored."""
+    points = vectors.where("x0 is not null").select(F.explode(F.array("g0", "g1", "g2")).alias("g"), *_X)
+    sizes = stored(points.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    groups, large = sizes.agg(F.count("*"), F.count_if(F.col("n") > local)).first()
+    sized = _by_group(points, sizes, groups)
+    out = sized.where(F.col("n") <= local).groupBy("g").applyInPandas(_local, _OWN)
+    if large:
+        out = out.unionByName(_spread(sized.where(F.col("n") > local), large))
+    return stored(out, "own")
+
+
+def combined(n: float, mean: np.ndarray, cov: np.ndarray, prior: float, centre: np.ndarray, scatter: np.ndarray) -> Estimate:
+    """An estimate of n documents together with a wider one that counts for ``prior`` documents."""
+    apart = mean - centre
+    total = n + prior
+    return (n * mean + prior * centre) / total, solid((n * cov + prior * scatter + n * prior / total * np.outer(apart, apart)) / total)
+
+
+def _levels(prior: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            out = []
+            for r in part.to_dict("records"):
+                estimate = (np.array(r["mean0"]), np.eye(P))
+                for level, weight in ((0, P), (1, prior), (2, prior)):
+                    estimate = combined(r[f"n{level}"], np.array(r[f"mean{level}"]), _matrix(r[f"cov{level}"]), weight, *estimate)
+                out.append((r["g2"], r["n2"], *estimate[0].tolist(), *_upper(np.linalg.inv(estimate[1]))))
+            yield pd.DataFrame(out, columns=["g", "n", *_M, *_W])
+
+    return run
+
+
+def estimates(vectors: DataFrame, prior: float = PRIOR, local: int = LOCAL) -> DataFrame:
+    """(g, n, m0.., w0_0..): the parameters that each language and source is judged by, stored."""
+    own = fit(vectors, local)
+    out = vectors.where("x0 is not null").select("g0", "g1", "g2").distinct()
+    for level in range(3):
+        out = out.join(own.select(F.col("g").alias(f"g{level}"), *[F.col(c).alias(f"{c}{level}") for c in ("n", "mean", "cov")]), f"g{level}")
+    return stored(out.mapInPandas(_levels(prior), f"g long, n long, {_doubles([*_M, *_W])}"), "estimates")
+
+
+def judged(vectors: DataFrame, reject: float, prior: float, local: int) -> DataFrame:
+    """The rows of ``vectors`` that are kept, with ``distance`` and ``cutoff``."""
+    table = estimates(vectors, prior, local)
+    rows = vectors.withColumnRenamed("g2", "g")
+    cutoff = chi_square(1 - reject, P)
+    found = _by_group(rows.where("x0 is not null"), table, table.count()).withColumn("distance", F.expr(_DISTANCE)).where(F.col("distance") <= cutoff)
+    bare = rows.where("x0 is null").withColumn("distance", F.lit(None).cast("double"))
+    kept = [c for c in rows.columns if c != "g"]
+    return found.select(*kept, "distance").unionByName(bare.select(*kept, "distance")).withColumn("cutoff", F.lit(cutoff))
+
+
+def regular(docs: DataFrame, reject: float = REJECT, prior: float = PRIOR, local: int = LOCAL) -> DataFrame:
     """(doc_id, lang, source, distance, cutoff) of the documents that are kept.
 
-    A document goes if its squared distance exceeds the chi-square quantile 1 - ``reject``.
+    A document goes if its squared distance exceeds the chi-square quantile 1 - ``reject``. Each
+    language and source is judged by its own estimate, however few documents it has.
     Defined cases: a null text, and one without a visible character, has no vector and is kept
-    with a null distance, like all of a table too small for any estimate; null languages and
-    sources are groups of their own; equal statistics get equal distances, so ties go together;
-    repeated rows count as often as they come; a group of one repeated text has a scatter of
-    ``FLOOR``; an empty table gives an empty result; other columns play no part.
+    with a null distance; null languages and sources are groups of their own; equal statistics get
+    equal distances, so ties go together; repeated rows count as often as they come; a group of one
+    repeated text has a scatter of ``FLOOR``; an empty table gives an empty result; other columns
+    play no part.
     """
-    vectors = described(docs)
-    groups, sizes = grouping(vectors, least)
-    estimates = fit(vectors, groups, sizes)
-    cutoff = chi_square(1 - reject, P)
-    out = scored(_grouped(vectors, groups.where("judged")), estimates)
-    return out.where(F.col("distance").isNull() | (F.col("distance") <= cutoff)).select("doc_id", "lang", "source", "distance", F.lit(cutoff).alias("cutoff"))
+    return judged(described(docs), reject, prior, local).select("doc_id", "lang", "source", "distance", "cutoff")
 
 
-def keep_regular(docs: DataFrame, reject: float = REJECT, least: int = LEAST) -> DataFrame:
+def keep_regular(docs: DataFrame, reject: float = REJECT, prior: float = PRIOR, local: int = LOCAL) -> DataFrame:
     """The documents without the outliers; columns stay as they are.
 
-    As :func:`regular`, but the vectors are computed again beside the rows, so that no text is
-    shuffled.
+    As :func:`regular`, but the vectors are stored beside the rows, so that they are computed once
+    and no text is shuffled.
     """
-    vectors = described(docs)
-    groups, sizes = grouping(vectors, least)
-    estimates = fit(vectors, groups, sizes)
-    cutoff = chi_square(1 - reject, P)
-    row, bare = fresh(docs.columns, "row"), ["doc_id", "lang", "source"]
-    inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), statistics("text").alias("v"))
-    inner = inner.select(row, *bare[1:], *[F.col("v")[i].alias(f"x{i}") for i in range(P)])
-    out = scored(_grouped(inner, groups.where("judged")), estimates)
-    return out.where(F.col("distance").isNull() | (F.col("distance") <= cutoff)).select(f"{row}.*")
+    row = fresh(docs.columns, "row")
+    return judged(described(docs, row), reject, prior, local).select(f"{row}.*")

@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from glyphmill.llm import outliers as O
 from glyphmill.llm.common import flat
@@ -35,43 +36,95 @@ def test_chi_square():
         assert abs(O.chi_square(q, p) - want) < 1e-5
 
 
-def naive_mcd(x):
-    """The same estimate with plain arrays: two starts, three steps each, the better one to the end."""
-    n, p = x.shape
-    need = (n + p + 1) // 2
-    centre = np.array([np.sort(c)[(n - 1) // 2] for c in x.T])
-    spread = np.maximum(1.4826 * np.array([np.sort(np.abs(c - m))[(n - 1) // 2] for c, m in zip(x.T, centre, strict=True)]), O.FLOOR)
-    y = (x - centre) / spread
-    y = y / (np.linalg.norm(y, axis=1) + 1e-12)[:, None]
-    sign = y.T @ y / n
-    scale = np.sqrt(np.maximum(np.diag(sign), 1e-12))
-    starts = [(centre, np.diag(spread**2)), (centre, O.solid(sign / np.outer(scale, scale) * np.outer(spread, spread)))]
-
-    def d2(e):
-        z = x - e[0]
-        return np.einsum("ij,jk,ik->i", z, np.linalg.inv(e[1]), z)
-
-    def radius(e):
-        bins = np.clip(np.floor((np.log10(d2(e) + 1e-300) + 4) * O.BINS / 12), 0, O.BINS - 1).astype(int)
-        b = int(np.searchsorted(np.cumsum(np.bincount(bins, minlength=O.BINS)), need))
-        return O.edge_of(b) if b < O.BINS - 1 else np.inf
-
-    def within(e, r):
-        near = x[d2(e) <= r]
-        return near.mean(axis=0), O.solid(np.cov(near.T, bias=True))
-
-    before = None
-    for step in range(O.STEPS):
-        now = [radius(e) for e in starts]
-        if step and now == before:
-            break
-        starts, before = [within(e, r) for e, r in zip(starts, now, strict=True)], now
-        if step == 2:
-            k = min((0, 1), key=lambda k: np.linalg.slogdet(starts[k][1])[1])
-            starts, before = [starts[k]], [before[k]]
-    e = starts[0]
-    usual = e[0], O.solid(e[1] * min(1e6, radius(e) / O.chi_square(0.5, p)))
-    return within(usual, O.chi_square(0.975, p))
+def fast_mcd(x, seed=0):
+    """The reweighted estimate from the h nearest, by sorting, from many random subsets: the half of
+    the points whose covariance has the least determinant that any start leads to."""
+    r, (n, p) = np.random.default_rng(seed), x.shape
+    h = min(n, (n + p + 1) // 2)
+
+    def squared(mean, cov):
+        z = x - mean
+        return (z @ np.linalg.inv(cov) * z).sum(axis=1)
+
+    best = None
+    for _ in range(60):
+        some = x[r.choice(n, p + 1, replace=False)]
+        mean, cov = some.mean(axis=0), O.solid(np.cov(some.T, bias=True))
+        det = np.inf
+        while True:
+            near = x[np.argsort(squared(mean, cov), kind="stable")[:h]]
+            mean, cov = near.mean(axis=0), O.solid(np.cov(near.T, bias=True))
+            now = np.linalg.slogdet(cov)[1]
+            if now >= det - 1e-12:
+                break
+            det = now
+        if best is None or det < best[0]:
+            best = det, mean, cov
+    det, mean, cov = best
+    cov = O.solid(cov * np.sort(squared(mean, cov))[h - 1] / O.chi_square(0.5, p))
+    near = x[squared(mean, cov) <= O.chi_square(0.975, p)]
+    return det, near.mean(axis=0), O.solid(np.cov(near.T, bias=True))
+
+
+def contaminated(seed, n=900, share=0.3):
+    """Correlated normal points, a share of them replaced by a far cluster and by wide noise."""
+    r = np.random.default_rng(seed)
+    mix = r.normal(size=(O.P, O.P)) * 0.3 + np.eye(O.P)
+    x = r.normal(size=(n, O.P)) @ mix * 0.4
+    bad = r.random(n) < share
+    x[bad] = np.where(r.random((bad.sum(), 1)) < 0.5, 6 + 0.3 * r.normal(size=(bad.sum(), O.P)), 8 * r.normal(size=(bad.sum(), O.P)))
+    return x, bad
+
+
+def test_estimates_are_those_of_random_starts():
+    for seed in range(6):
+        x, bad = contaminated(seed)
+        _, mean, cov = fast_mcd(x)
+        got, scatter = O.fit_points(x)
+        sd = np.sqrt(np.diag(cov))
+        assert np.abs((got - mean) / sd).max() < 0.1
+        assert np.abs(scatter / np.outer(sd, sd) - cov / np.outer(sd, sd)).max() < 0.1
+        cut = O.chi_square(1 - 1e-6, O.P)
+        far = [((x - m) @ np.linalg.inv(c) * (x - m)).sum(axis=1) > cut for m, c in ((mean, cov), (got, scatter))]
+        assert (far[0] == far[1]).mean() > 0.995 and not far[1][~bad].any() and far[1][bad].mean() > 0.95
+
+
+def points_of(spark, groups):
+    rows = [(f"l{g % 2}", f"s{g}", *map(float, v)) for g, x in enumerate(groups) for v in x]
+    df = spark.createDataFrame(rows, "lang string, source string, " + O._doubles(O._X))
+    return df.withColumns({"g0": O._key(0), "g1": O._key(1, F.col("lang")), "g2": O._key(2, F.col("lang"), F.col("source"))})
+
+
+def test_aggregations_equal_one_task(spark, monkeypatch):
+    groups = [contaminated(s, n)[0] for s, n in enumerate((400, 30, 5))]
+    table_ = points_of(spark, groups)
+    small = {r["g"]: r for r in O.fit(table_).collect()}
+    monkeypatch.setattr(O, "BROADCAST_ROWS", 0)
+    large = {r["g"]: r for r in O.fit(table_, 25).collect()}
+    assert len(small) == len(large) == 6 and {r["n"] for r in small.values()} == {435, 405, 400, 30, 5}
+    for g, r in small.items():
+        assert np.allclose(r["mean"], large[g]["mean"], atol=1e-6) and np.allclose(r["cov"], large[g]["cov"], atol=1e-6)
+
+
+def test_a_narrow_window_of_bins_changes_nothing(spark, monkeypatch):
+    table_ = points_of(spark, [contaminated(3, 500)[0]])
+    want = {r["g"]: r["mean"] for r in O.fit(table_).collect()}
+    monkeypatch.setattr(O, "NEAR", 1)
+    got = {r["g"]: r["mean"] for r in O.fit(table_, 10).collect()}
+    assert all(np.allclose(want[g], got[g], atol=1e-6) for g in want)
+
+
+def test_small_groups_follow_their_language(spark):
+    x = np.random.default_rng(1).normal(size=(4000, O.P)) * 0.3
+    groups = [x[:3000], x[3000:3900], x[3900:3910] + 0.2, x[3910:] + 3]
+    own = {r["n"]: r for r in O.fit(points_of(spark, groups)).collect()}
+    final = {r["n"]: np.array([r[m] for m in O._M]) for r in O.estimates(points_of(spark, groups)).collect()}
+    for n, mean in final.items():
+        narrow, wide = np.array(own[n]["mean"]), np.array(own[3010 if n in (3000, 10) else 990]["mean"])
+        n_wide, n_all = (3010, 4000) if n in (3000, 10) else (990, 4000)
+        top = (n_all * np.array(own[n_all]["mean"]) + O.P * np.array(own[n_all]["mean"])) / (n_all + O.P)
+        middle = (n_wide * wide + O.PRIOR * top) / (n_wide + O.PRIOR)
+        assert np.allclose(mean, (n * narrow + O.PRIOR * middle) / (n + O.PRIOR))
 
 
 def junk(r, kind):
@@ -93,62 +146,39 @@ def corpus(n=400):
     return rows, bad
 
 
-def test_fit_equals_naive(spark):
-    rows, _ = corpus()
-    vectors = O.described(table(spark, rows))
-    groups, sizes = O.grouping(vectors, 150)
-    estimates = O.fit(vectors, groups, sizes)
-    names = {(r["lang"], r["source"]): r["g"] for r in groups.collect()}
-    x = {g: [] for g in sizes}
-    for r in vectors.where("x0 is not null").collect():
-        if (r["lang"], r["source"]) in names:
-            x[names[r["lang"], r["source"]]].append([r[f"x{i}"] for i in range(O.P)])
-    assert len(sizes) >= 2 and {g: len(v) for g, v in x.items()} == sizes
-    for g, v in x.items():
-        mean, cov = naive_mcd(np.array(v))
-        assert np.allclose(estimates[g][0], mean, atol=1e-3) and np.allclose(estimates[g][1], cov, atol=1e-3)
-
-
 def test_junk_goes_and_the_rest_stays(spark):
     rows, bad = corpus()
     docs = table(spark, rows, extra=True)
-    kept = {r["doc_id"] for r in O.regular(docs, least=150).collect()}
+    kept = {r["doc_id"] for r in O.regular(docs).collect()}
     good = {d for d, *_ in rows if d is not None and d >= 100} - bad
     assert good <= kept
     assert len(bad & kept) <= 0.05 * len(bad)
-    out = O.keep_regular(docs, least=150)
+    out = O.keep_regular(docs)
     assert out.columns == docs.columns
     assert rows_of(out, "doc_id", "text", "n_chars") == sorted(((d, t, n) for d, t, _, _, n in rows if d in kept or d is None), key=repr)
 
 
-def test_what_is_too_small_uses_its_language_then_all(spark):
+def test_every_document_with_a_vector_is_judged(spark):
     r = random.Random(6)
     rows, bad = [], set()
     for i in range(760):
-        lang, source = ("en", "a") if i < 300 else ("en", "new") if i < 350 else ("de", "a") if i < 700 else ("xx", "b")
+        lang, source = ("en", "a") if i < 300 else ("en", "new") if i < 340 else ("de", "a") if i < 750 else ("xx", "b")
         text = ". ".join(words(r, r.randint(5, 12)).capitalize() for _ in range(r.randint(2, 12)))
-        if lang == "xx" or source == "new" and i % 2:
+        if source == "new" and i % 4 == 0 or lang == "xx" and i % 4 == 3:
             text = junk(r, ("symbols", "caps", "stutter", "noise")[i // 2 % 4])
             bad.add(i)
         rows.append((i, text, lang, source, len(text)))
-    docs = table(spark, rows)
-    vectors = O.described(docs)
-    groups, sizes = O.grouping(vectors, 150)
-    judged = {(x["lang"], x["source"]): sizes[x["g"]] for x in groups.where("judged").collect()}
-    assert judged == {("en", "a"): 300, ("de", "a"): 350, ("en", "new"): 350, ("xx", "b"): 760}
-    g = next(g for g, n in sizes.items() if n == 760)
-    mean, cov = naive_mcd(np.array([[x[f"x{i}"] for i in range(O.P)] for x in vectors.collect()]))
-    estimate = O.fit(vectors, groups, sizes)[g]
-    assert np.allclose(estimate[0], mean, atol=1e-3) and np.allclose(estimate[1], cov, atol=1e-3)
-    out = O.regular(docs, least=150).collect()
-    assert {x["doc_id"] for x in out} == set(range(760)) - bad
-    assert all(x["distance"] is not None for x in out)
-    assert {x["doc_id"] for x in O.keep_regular(docs, least=150).collect()} == {x["doc_id"] for x in out}
+    for local in (O.LOCAL, 100):
+        out = O.regular(table(spark, rows), local=local).collect()
+        assert {x["doc_id"] for x in out} == set(range(760)) - bad
+        assert all(x["distance"] is not None for x in out)
 
 
 def test_small_and_odd_groups(spark):
     out = O.regular(table(spark, awkward()))
-    assert out.count() == len(awkward()) and out.where("distance is not null").count() == 0
+    kept = sorted((r["doc_id"] for r in out.collect()), key=repr)
+    assert kept == sorted((d for d, *_ in awkward() if d != 6), key=repr)  # 6 is a word of 50,000 letters
+    assert out.where("distance is null").count() == sum(not (t or "").strip() for _, t, *_ in awkward())
     same = [(i, "the very same text", None, None, 1) for i in range(300)] + [(999, "&&& ### *** $$$ %%% " * 40, None, None, 1)]
     kept = {r["doc_id"] for r in O.regular(table(spark, same)).collect()}
     assert kept == set(range(300))
