@@ -4,7 +4,8 @@ A monolithic ``.warc.gz`` has no entry points: to read one record, all before it
 The normaliser inflates each file once, as a stream, cuts it into records by their lengths, writes
 every record as a gzip member of its own, and writes a sidecar index with each member's offset
 and length. Any record is then one ranged read away, and the concatenated members inflate to
-the bytes of the original stream.
+the bytes of the original stream: blank bytes between records, however many, belong to the
+record before them, those before the first record to the first.
 
 One task handles one file, in memory bounded by the largest record. A task writes under a name of
 its own and renames the result when it is whole, so a lost executor or a second attempt does no harm.
@@ -72,15 +73,16 @@ class _Stream:
         self.held += data
         return True
 
-    def line_end(self) -> int:
-        """Index in ``held`` after the blank line that ends a header, or -1 at the end of the stream."""
-        begin = self.at
+    def line_end(self, skip: int) -> int:
+        """Index in ``held`` after the blank line that ends a header which begins ``skip`` bytes on, or -1
+        at the end of the stream."""
+        begin = self.at + skip
         while True:
             found = self.held.find(b"\r\n\r\n", begin)
             if found >= 0:
                 return found + 4
             before = self.at
-            begin = max(self.at, len(self.held) - 3)
+            begin = max(self.at + skip, len(self.held) - 3)
             if not self.more():
                 return -1
             begin -= before - self.at
@@ -93,17 +95,21 @@ class _Stream:
 
 
 def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """(header fields in lower case, whole record with its closing blank lines, payload)."""
+    """(header fields in lower case, whole record with the blank bytes around it, payload)."""
     stream = _Stream(source)
-    while True:
-        while stream.ensure(1) and stream.held[stream.at] in (10, 13):
-            stream.at += 1
-        if not stream.ensure(1):
-            return
-        head_end = stream.line_end()
+
+    def blanks(size: int) -> int:
+        """``size``, and the number of blank bytes from there on."""
+        while stream.ensure(size + 1) and stream.held[stream.at + size] in (10, 13):
+            size += 1
+        return size
+
+    lead = blanks(0)
+    while stream.ensure(lead + 1):
+        head_end = stream.line_end(lead)
         if head_end < 0:
             raise BadRecord("a record's header has no end")
-        head = bytes(stream.held[stream.at : head_end])
+        head = bytes(stream.held[stream.at + lead : head_end])
         if not head.startswith(b"WARC/"):
             raise BadRecord("a record does not begin with WARC/")
         fields: dict[str, str] = {}
@@ -115,16 +121,13 @@ def records(source: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
             size = int(fields["content-length"])
         except (KeyError, ValueError):
             raise BadRecord("a record has no valid Content-Length") from None
-        if size < 0 or not stream.ensure(len(head) + size):
+        end = lead + len(head) + size
+        if size < 0 or not stream.ensure(end):
             raise BadRecord("a record is cut short")
-        stream.ensure(len(head) + size + 4)
+        tail = blanks(end)
         begin = stream.at  # after the last call that may inflate, which may move the held bytes
-        end = begin + len(head) + size
-        tail = end
-        while tail < min(end + 4, len(stream.held)) and stream.held[tail] in (10, 13):
-            tail += 1
-        yield fields, bytes(stream.held[begin:tail]), bytes(stream.held[begin + len(head) : end])
-        stream.at = tail
+        yield fields, bytes(stream.held[begin : begin + tail]), bytes(stream.held[begin + lead + len(head) : begin + end])
+        stream.at, lead = begin + tail, 0
 
 
 def member(record: bytes, level: int = LEVEL) -> bytes:
@@ -229,7 +232,7 @@ def write_monolithic(pages: DataFrame, folder: str, level: int = 1) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"])], ["path"])
 
     small_batches(pages.sparkSession, 500)
-    return stored(pages.select("page_id", "url", "html").mapInArrow(run, "path string"), "warc-paths")
+    return stored(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "path string"), "warc-paths")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
