@@ -15,6 +15,7 @@ from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
@@ -24,7 +25,8 @@ SIBLING = 0.2
 
 _TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s<>/]*)((?:[^<>"']++|"[^"<]*+"|'[^'<]*+')*+|[^<>]*+)>|<[!?][^<>]*+>""")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_SKIP = frozenset("script style noscript template svg math iframe object textarea select button".split())
+_RAW = frozenset("script style textarea".split())  # what follows is no markup up to their end tag, or at all
+_HIDDEN = frozenset("noscript template svg math iframe object select button".split())
 _BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section table tbody td tfoot th thead title tr ul".split())
 _PARAGRAPH = frozenset(("p", "pre", "td", "blockquote"))
 _HOLDER = frozenset(("div", "section", "article", "main", "body", "center", "dd", "figcaption"))
@@ -40,6 +42,7 @@ class Page:
         self.tag, self.parent, self.end, self.first, self.last = ["#root"], [0], [0], [0], [0]
         self.pieces: list[str] = []  # texts, and "\n" at block boundaries
         self.owner: list[int] = []
+        self.hidden: list[int] = []  # the open elements whose text is left out
         self._parse(html)
 
     def _open(self, tag: str) -> int:
@@ -52,13 +55,15 @@ class Page:
         return node
 
     def _text(self, text: str) -> None:
-        if text:
+        if text and not self.hidden:
             self.pieces.append(text)
             self.owner.append(self.stack[-1])
 
     def _close(self) -> None:
         node = self.stack.pop()
         self.open[self.tag[node]] -= 1
+        if self.hidden and self.hidden[-1] == node:
+            self.hidden.pop()
         if self.tag[node] in _BLOCK:
             self._text("\n")
         self.end[node], self.last[node] = len(self.tag), len(self.pieces)
@@ -76,6 +81,7 @@ class Page:
     def _parse(self, html: str) -> None:
         self.stack, self.open = [0], {"#root": 1}
         at, lower = 0, ""
+        ends: dict[str, int] = {}  # where the last end tag of a kind begins
         while m := _TAG.search(html, at):
             if m.start() > at:
                 self._text(unescape(html[at : m.start()]))
@@ -93,13 +99,18 @@ class Page:
                         self._close()
                     self._close()
                 continue
-            if tag in _SKIP and not m[3].endswith("/"):
+            if (tag in _RAW or tag in _HIDDEN) and not m[3].endswith("/"):
                 lower = lower or html.lower()
                 lower = lower if len(lower) == len(html) else "".join(c.lower() if c < "\x80" else c for c in html)
-                stop = lower.find("</" + tag, at)
-                stop = len(html) if stop < 0 else html.find(">", stop)
-                at = len(html) if stop < 0 else min(len(html), stop + 1)
-                continue
+                if tag not in ends:
+                    ends[tag] = lower.rfind("</" + tag)
+                if tag in _RAW:
+                    stop = lower.find("</" + tag, at) if ends[tag] >= at else -1
+                    stop = len(html) if stop < 0 else html.find(">", stop)
+                    at = len(html) if stop < 0 else min(len(html), stop + 1)
+                    continue
+                if tag in ("button", "select") and self.open.get(tag):
+                    self._until((tag,), _SCOPE)
             if tag in _ENDS_P and self.open.get("p"):
                 self._until(("p",), frozenset(("table", "td", "th", "button")))
             for old in _CLOSES.get(tag, ()):
@@ -111,6 +122,11 @@ class Page:
                 continue
             self.stack.append(self._open(tag))
             self.open[tag] = self.open.get(tag, 0) + 1
+            if ends.get(tag, -1) >= at and tag in _HIDDEN:
+                if m[3].endswith("/"):
+                    self._close()
+                else:
+                    self.hidden.append(self.stack[-1])
         self._text(unescape(html[at:]))
         while len(self.stack) > 1:
             self._close()
@@ -150,7 +166,7 @@ def extract(html: str) -> tuple[str, str, float, int]:
     containers with one score the first counts.
     """
     page = Page(html)
-    title = next((" ".join(page.lines(i)) for i, t in enumerate(page.tag) if t == "title"), "")
+    title = next((x for i, t in enumerate(page.tag) if t == "title" and (x := " ".join(page.lines(i)))), "")
     size, linked, commas, own = _measure(page)
     points: dict[int, float] = {}
     earned = 0
@@ -203,8 +219,10 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Rows are handled one by one in a single pass without a shuffle. Defined cases: null html gives
     nulls; html without content gives an empty text and score 0; unclosed, stray and deeply nested
-    tags are mended as browsers do in the main; repeated rows give repeated rows; an empty table
-    gives an empty result; other columns play no part.
+    tags are mended as browsers do in the main; the text of buttons, embedded objects and the like is
+    left out up to their end tag or their parent's, and kept where no such end tag follows at all;
+    what follows an unclosed script, style or textarea is no markup; repeated rows give repeated
+    rows; an empty table gives an empty result; other columns play no part.
     """
     small_batches(pages.sparkSession, 500)
-    return pages.select("page_id", "url", "html").mapInArrow(_pages, "page_id long, url string, title string, text string, score double, paragraphs int")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(_pages, "page_id long, url string, title string, text string, score double, paragraphs int")

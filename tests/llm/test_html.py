@@ -1,3 +1,4 @@
+import random
 from html.parser import HTMLParser
 
 import pytest
@@ -8,7 +9,7 @@ LONG = "Words, and more words, that make this a real paragraph of some length, w
 
 
 def naive(html):
-    """The scores by walking a tree of dicts, for well-formed pages of div, p, a and span."""
+    """Score and text by walking a tree of dicts, for well-formed pages whose texts stand in p, a and span."""
     root = {"tag": "#root", "kids": [], "up": None}
 
     class Parser(HTMLParser):
@@ -56,12 +57,43 @@ def naive(html):
                 walk(k)
 
     walk(root)
-    best = 0.0
-    for n in order:
-        if id(n) in points:
-            size = sum(map(len, texts(n)))
-            best = max(best, points[id(n)] * (1 - (sum(map(len, texts(n, True))) / size if size else 0)))
-    return round(best, 6)
+
+    def density(n):
+        size = sum(map(len, texts(n)))
+        return sum(map(len, texts(n, True))) / size if size else 0
+
+    def score(n):
+        return points.get(id(n), 0) * (1 - density(n))
+
+    def lines(n):
+        out = [""]
+
+        def go(n):
+            block = n["tag"] in ("div", "p", "h2", "nav")
+            out.extend([""] * block)
+            for k in n["kids"]:
+                if isinstance(k, str):
+                    out[-1] += k
+                else:
+                    go(k)
+            out.extend([""] * block)
+
+        go(n)
+        return [y for x in out if (y := " ".join(x.split()))]
+
+    scored = [n for n in order if id(n) in points]
+    if not scored:
+        return 0.0, ""
+    best = max(score(n) for n in scored)
+    top = next(n for n in scored if score(n) == best)
+    kept = []
+    for n in [k for k in top["up"]["kids"] if not isinstance(k, str)] if top["up"] else [top]:
+        size = sum(map(len, texts(n)))
+        good = n is top or id(n) in points and score(n) >= max(10, H.SIBLING * best)
+        if n["tag"] == "p" and not good:
+            good = density(n) < 0.25 if size > 80 else size > 0 and density(n) == 0 and " ".join(lines(n))[-1:] in list(".!?")
+        kept += lines(n) if good else []
+    return round(best, 6), "\n".join(kept)
 
 
 @pytest.mark.parametrize("html", [
@@ -71,7 +103,38 @@ def naive(html):
     "<div>nothing</div>",
 ])
 def test_score_equals_naive(html):
-    assert H.extract(html)[2] == naive(html)
+    assert (H.extract(html)[2], H.extract(html)[1]) == naive(html)
+
+
+def test_random_pages_equal_naive():
+    r = random.Random(11)
+
+    def sentence(n):
+        return " ".join(r.choice(("word", "and,", "more", "of", "a", "text,", "long")) for _ in range(n)) + r.choice((".", "", "!"))
+
+    def inline():
+        return r.choice((lambda: sentence(r.randint(1, 40)), lambda: f"<a href='x'>{sentence(r.randint(1, 20))}</a>", lambda: f"<span>{sentence(r.randint(1, 9))}</span>"))()
+
+    def block(depth):
+        if depth == 0 or r.random() < 0.5:
+            return "<p>" + " ".join(inline() for _ in range(r.randint(0, 4))) + "</p>"
+        tag = r.choice(("div", "nav", "div"))
+        return f"<{tag}>" + "".join(block(depth - 1) for _ in range(r.randint(0, 5))) + f"</{tag}>"
+
+    for _ in range(400):
+        html = "<div>" + "".join(block(4) for _ in range(r.randint(1, 5))) + "</div>"
+        assert (H.extract(html)[2], H.extract(html)[1]) == naive(html), html
+
+
+@pytest.mark.parametrize("tag", ["button", "select", "svg", "iframe", "object", "noscript", "template", "math"])
+def test_elements_that_are_left_out(tag):
+    text = f"<p>{LONG}</p>"
+    assert H.extract(f"<div>{text}<{tag}>gone</{tag}>{text}</div>")[1].split("\n") == [LONG.strip()] * 2
+    kept = H.extract(f"<div><div><{tag}>note</div>{text}{text}</div>")[1]
+    assert kept.count(LONG.strip()) == 2  # never closed
+    closed = H.extract(f"<div><span><{tag}>gone</span>{text}</div><div><{tag}>x</{tag}></div>")[1]
+    assert LONG.strip() in closed and "gone" not in closed  # ends at its parent
+    assert LONG.strip() in H.extract(f"<div><{tag} />{text}</div>")[1]
 
 
 def test_container_and_siblings():
@@ -104,5 +167,5 @@ def test_pages(spark):
     pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, title string, text string")
     out = H.extract_pages(pages)
     got = sorted(((r["page_id"], r["text"], r["score"]) for r in out.collect()), key=repr)
-    assert got == sorted([(1, LONG.strip(), naive(rows[0][2])), (2, None, None), (None, "", 0.0), (3, "", 0.0), (3, "", 0.0)], key=repr)
+    assert got == sorted([(1, LONG.strip(), naive(rows[0][2])[0]), (2, None, None), (None, "", 0.0), (3, "", 0.0), (3, "", 0.0)], key=repr)
     assert H.extract_pages(pages.limit(0)).count() == 0
