@@ -29,7 +29,7 @@ from pyspark.sql.types import StringType
 
 from .common import slices, small_batches
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # only the default of a parameter
 CACHE = 500_000  # pieces a worker remembers before it starts afresh
 
 LETTER, NUMBER, OTHER, CUE1, CUE2, SPACE_IN, SPACE_LEAD, SPACE_LAST = range(8)
@@ -142,9 +142,8 @@ def boundaries(code: np.ndarray, first: np.ndarray) -> np.ndarray:
 class Codec:
     """A vocabulary: byte strings to ranks, which are the ids."""
 
-    def __init__(self, path: str = VOCABULARY) -> None:
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in f if x.strip())}
+    def __init__(self, data: bytes) -> None:
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in data.splitlines() if x.strip())}
         size = max(self.ranks.values()) + 1
         words = [b""] * size
         for w, r in self.ranks.items():
@@ -304,8 +303,15 @@ class Codec:
 
 
 @lru_cache(maxsize=4)
-def codec(path: str) -> Codec:
-    return Codec(path)
+def codec(data: bytes) -> Codec:
+    return Codec(data)
+
+
+def read_vocabulary(path: str) -> bytes:
+    """The vocabulary file, of about a megabyte, read where the job starts; it goes to the workers with
+    the function, so that they need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
 
 
 def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -317,16 +323,18 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
     repeated rows; an empty table gives an empty result; other columns play no part.
     """
 
+    data = read_vocabulary(vocabulary)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = codec(vocabulary)
+        tool = codec(data)
         for batch in batches:
             texts = batch.column("text")
             ids, offsets, counts, good = [], [], [], []
-            for _, data, at in slices(texts):
-                i, o, bounds = tool.encode(data, at)
+            for _, raw, at in slices(texts):
+                i, o, bounds = tool.encode(raw, at)
                 back = np.frombuffer(tool.decode(i), np.uint8)
-                same = len(back) == len(data)
-                wrong = np.flatnonzero(back != data) if same else np.arange(len(data))
+                same = len(back) == len(raw)
+                wrong = np.flatnonzero(back != raw) if same else np.arange(len(raw))
                 good.append(np.diff(np.searchsorted(wrong, at)) == 0)
                 ids.append(i)
                 offsets.append(o)
@@ -346,9 +354,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame
 
 def decode_ids(encoded: DataFrame, vocabulary: str = VOCABULARY, ids: str = "ids", text: str = "text") -> DataFrame:
     """Adds the decoded text of a column of ids; bytes that are no UTF-8 become U+FFFD; null stays null."""
+    data = read_vocabulary(vocabulary)
+
     @F.pandas_udf(StringType())
     def run(column: pd.Series) -> pd.Series:
-        tool = codec(vocabulary)
+        tool = codec(data)
         return pd.Series([None if x is None else tool.decode(np.asarray(x, np.int64)).decode("utf-8", "replace") for x in column], dtype=object)
 
     return encoded.withColumn(text, run(F.col(ids)))

@@ -29,7 +29,7 @@ def texts(n):
 
 
 def test_equals_the_regex_tokenizer(oracle):
-    tool = bpe.codec(bpe.VOCABULARY)
+    tool = bpe.codec(bpe.read_vocabulary(bpe.VOCABULARY))
     all_texts = texts(6000)
     for first, data, at in slices(pa.array(all_texts)):
         ids, offsets, bounds = tool.encode(data, at)
@@ -57,7 +57,7 @@ def test_scan_equals_stepping():
 
 
 def test_merges_of_long_pieces_agree():
-    tool = bpe.codec(bpe.VOCABULARY)
+    tool = bpe.codec(bpe.read_vocabulary(bpe.VOCABULARY))
     r = random.Random(2)
     pieces = [bytes(r.choice(b"abst ein") for _ in range(r.randint(1, 39))) for _ in range(500)]
     assert [np.frombuffer(x, np.int32).tolist() for x in tool.merge(pieces)] == [tool._long(p) for p in pieces]
