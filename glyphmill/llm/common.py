@@ -22,12 +22,14 @@ HOT_KEYS = 100_000  # of at most 24 bytes each, for a broadcast
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Where the setting is absent (local tests) a temporary folder is made and set; on a cluster it
-    must be set by whoever starts the session.
+    Where the setting is absent on one machine (as in tests) a temporary folder is made and set; a
+    cluster without it is refused, since a folder that one machine has would lose data.
     """
     conf = spark.sparkContext.getConf()
     where = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors reach")
         where = "file://" + tempfile.mkdtemp(prefix="glyphmill-")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext.getCheckpointDir() is None:

