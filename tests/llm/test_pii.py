@@ -85,6 +85,10 @@ def test_ibans_equal_all_substrings():
         assert [x for x in P.spans(text) if x[2] == "iban"] == want
 
 
+def test_letters_whose_lower_case_is_longer_move_nothing():
+    assert P.redact("İİİ ToKeN: abcdefgh12345678 İ x@y.org")[0] == "İİİ ToKeN: [SECRET] İ [EMAIL]"
+
+
 def test_spans_do_not_overlap():
     text = "http://a@b.example.com/4111111111111111 x@y.org"
     found = P.spans(text)
