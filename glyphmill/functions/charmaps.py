@@ -68,14 +68,6 @@ def apply(text: Column, encoding: str | None) -> Column:
     return reduce(lambda t, p: F.replace(t, F.lit(p[0]), F.lit(p[1])), pairs, text)
 
 
-def apply_by(text: Column, encoding: Column, among: tuple[str, ...] = tuple(CHARMAPS)) -> Column:
-    """The text converted by the charmap that a column names."""
-    out = F.when(encoding == among[0], apply(text, among[0]))
-    for name in among[1:]:
-        out = out.when(encoding == name, apply(text, name))
-    return out.otherwise(text)
-
-
 def convert(text: str, encoding: str) -> str:
     """The greedy scan on a Python string, for tests and driver-side use; not normalised."""
     pairs, out, i = CHARMAPS[encoding], [], 0

@@ -10,9 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType
-
-from ..schema import BLOCK_TYPE
+from pyspark.sql.types import BooleanType, DoubleType, StringType
 
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
@@ -31,40 +29,29 @@ def _normal(values: pa.Array, form: str) -> pa.Array:
     return pa.array([None if x is None else x if unicodedata.is_normalized(form, x) else unicodedata.normalize(form, x) for x in values.to_pylist()], pa.string())
 
 
-def _nested(values: pa.Array, form: str) -> pa.Array:
-    """All strings of a nested array normalised, its structure as it was."""
-    if pa.types.is_struct(values.type):
-        fields = [_nested(values.field(i), form) for i in range(values.type.num_fields)]
-        return pa.StructArray.from_arrays(fields, names=[f.name for f in values.type], mask=values.is_null())
-    if pa.types.is_list(values.type):
-        lengths = values.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        edges = pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32), mask=np.append(np.asarray(values.is_null()), False))
-        return pa.ListArray.from_arrays(edges, _nested(values.flatten(), form))
-    return _normal(values, form) if pa.types.is_string(values.type) else values
-
-
 @lru_cache(maxsize=None)
-def _form_udf(form: str, nested: bool):
+def _form_udf(form: str):
     if form not in FORMS:
         raise ValueError(f"form must be one of {list(FORMS)}, got {form!r}")
-    if nested:
-        udf = F.arrow_udf(lambda values: _nested(values, form), ArrayType(BLOCK_TYPE))
-    else:
-        udf = F.arrow_udf(lambda values: _normal(values, form), StringType())
     # not deterministic in name only: else the optimizer could copy the call into the lambda of a
     # later higher-order function, where Python cannot be evaluated
-    return udf.asNondeterministic()
+    return F.arrow_udf(lambda values: _normal(values, form), StringType()).asNondeterministic()
 
 
 def normal_form(text: Column, form: str = "NFC") -> Column:
     """The text in a Unicode normal form. Spark has none, so this is the one step in Python; use it
     last in a chain and once a column."""
-    return _form_udf(form, False)(text)
+    return _form_udf(form)(text)
+
+
+@lru_cache(maxsize=None)
+def _is_udf(form: str):
+    return F.arrow_udf(lambda values: pa.array([None if x is None else unicodedata.is_normalized(form, x) for x in values.to_pylist()], pa.bool_()), BooleanType())
 
 
-def blocks_normal_form(blocks: Column, form: str = "NFC") -> Column:
-    """All strings of a block array in a normal form, in one crossing."""
-    return _form_udf(form, True)(blocks)
+def is_normal_form(text: Column, form: str = "NFC") -> Column:
+    """Whether the text is in a normal form, as a check of texts that should be."""
+    return _is_udf(form)(text)
 
 
 def clean_chars(text: Column) -> Column:
@@ -76,11 +63,6 @@ def clean_chars(text: Column) -> Column:
     return text
 
 
-def before_clean(text: Column, form: str) -> Column:
-    """Compatibility forms make new spaces, so they must come before the cleanup too."""
-    return normal_form(text, form) if form in ("NFKC", "NFKD") else text
-
-
 def clean_text(text: Column, form: str = "NFC") -> Column:
     return normal_form(clean_chars(text), form)
 
@@ -114,7 +96,7 @@ def score(text: str) -> float:
 
 @lru_cache(maxsize=1)
 def _score_udf():
-    return F.arrow_udf(lambda texts: pa.array([None if t is None else score(t) for t in texts.to_pylist()], pa.float64()), DoubleType())
+    return F.arrow_udf(lambda texts: pa.array([None if t is None else score(t) for t in texts.to_pylist()], pa.float64()), DoubleType()).asNondeterministic()
 
 
 def vietnamese_score(text: Column) -> Column:

@@ -2,97 +2,143 @@
 
 Where a document's fonts disagree, each block, or each run of a block, is converted by its own
 verdict; a document that agrees is converted whole, its flat text staying the extractor's own.
-All of it is expressions over nested arrays, with one Python step at the end for the normal form.
+
+The normal form has to be made in Python, so all of a document is done in that one crossing: an
+Arrow function takes the blocks and the flat text of a batch and gives them back normalised. As
+expressions the same rules are a tree of some hundred regexes, since each branch repeats them.
 """
 
 from __future__ import annotations
 
+import time
+from functools import lru_cache
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
 
 from ..functions import charmaps
-from ..functions.detect import ASSUMED, content_verdict, detect_fonts, font_encoding, gains, verdict
-from ..functions.text import before_clean, blocks_normal_form, clean_chars, normal_form
+from ..functions.plain import Verdict, clean, convert, detect_content, detect_fonts, dominant, font_encoding, normal
+from ..functions.text import FORMS
+from ..schema import BLOCK_TYPE
 
 LOW = 0.75
 OVERRIDE = 1.0
 FROM_FONT, FROM_PLAIN_FONT = 0.95, 0.9
 
+Segment = tuple[str | None, float, bool]  # encoding, confidence, and whether it is the segment's own
 
-def _plan(doc: Column):
-    def plan(block: Column) -> Column:
-        text = F.coalesce(block["text"], F.lit(""))
-        runs = block["runs"]
-        usable = F.coalesce((F.size(runs) > 0) & (F.array_join(F.transform(runs, lambda r: F.coalesce(r["text"], F.lit(""))), "") == text), F.lit(False))
 
-        def run(r: Column) -> Column:
-            own = F.coalesce(r["font"] != "", F.lit(False))
+def plan(block: dict, doc: Verdict) -> tuple[list[Segment], bool, bool]:
+    """A block's segments, whether they are its runs, and whether its own fonts disagree."""
+    runs = block["runs"]
+    if runs and "".join(r["text"] or "" for r in runs) == (block["text"] or ""):
+        out: list[Segment] = []
+        for r in runs:
             found = font_encoding(r["font"])
-            return F.struct(
-                F.when(own, found).otherwise(doc["encoding"]).alias("enc"),
-                F.when(own, F.when(found.isNotNull(), FROM_FONT).otherwise(FROM_PLAIN_FONT)).otherwise(doc["confidence"]).alias("conf"),
-                own.alias("own"),
-            )
-
-        signal = block["fonts"].isNotNull()
-        found = detect_fonts(block["fonts"])
-        whole = F.struct(
-            F.when(signal, found["encoding"]).otherwise(doc["encoding"]).alias("enc"),
-            F.when(signal, found["confidence"]).otherwise(doc["confidence"]).alias("conf"),
-            signal.alias("own"),
-        )
-        return F.struct(
-            F.when(usable, F.transform(runs, run)).otherwise(F.array(whole)).alias("segments"),
-            usable.alias("by_run"),
-            (~usable & signal & (found["method"] == "font-signal-mixed")).alias("font_mixed"),
-        )
-
-    return plan
-
-
-def dominant(encodings: Column) -> Column:
-    """The most frequent non-null value of an array; of equals the first."""
-    legacy = F.filter(encodings, lambda e: e.isNotNull())
-    ranked = F.transform(F.array_distinct(legacy), lambda e, i: F.struct(F.size(F.filter(legacy, lambda x: x == e)).alias("n"), (-i).alias("first"), e.alias("e")))
-    return F.array_max(ranked)["e"]
-
-
-def coalesced(runs: Column, segments: Column) -> Column:
-    """Neighbouring runs of one encoding joined: ARRAY<STRUCT<enc, text>>."""
-    pieces = F.zip_with(runs, segments, lambda r, s: F.struct(s["enc"].alias("enc"), F.coalesce(r["text"], F.lit("")).alias("text")))
-
-    def add(done: Column, piece: Column) -> Column:
-        last = F.get(done, F.size(done) - 1)
-        same = (F.size(done) > 0) & last["enc"].eqNullSafe(piece["enc"])
-        head = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
-        joined = F.array(F.struct(piece["enc"].alias("enc"), F.concat(last["text"], piece["text"]).alias("text")))
-        return F.when(same, F.concat(head, joined)).otherwise(F.concat(done, F.array(piece)))
-
-    return F.aggregate(pieces, F.expr("cast(array() as array<struct<enc string, text string>>)"), add)
-
-
-def _typed(block: Column, convert, text: Column) -> Column:
+            out.append((found, FROM_FONT if found else FROM_PLAIN_FONT, True) if r["font"] else (doc.encoding, doc.confidence, False))
+        return out, True, False
+    if block["fonts"] is None:
+        return [(doc.encoding, doc.confidence, False)], False, False
+    own = detect_fonts(block["fonts"])
+    return [(own.encoding, own.confidence, True)], False, own.method == "font-signal-mixed"
+
+
+def joined(runs: list[dict], segments: list[Segment]) -> str:
+    """The runs converted, neighbours of one encoding together, since a letter may span two."""
+    pieces: list[tuple[str | None, str]] = []
+    for r, (encoding, _, _) in zip(runs, segments, strict=True):
+        text = r["text"] or ""
+        if pieces and pieces[-1][0] == encoding:
+            pieces[-1] = encoding, pieces[-1][1] + text
+        else:
+            pieces.append((encoding, text))
+    return "".join(convert(text, encoding) for encoding, text in pieces)
+
+
+def typed(block: dict, change, text: str | None = None) -> dict:
     """A raw block as a typed one; what is missing or unknown becomes a paragraph, level 1, no text."""
-    kind = F.coalesce(block["type"], F.lit(""))
-    null = F.lit(None)
-    level = F.when(F.coalesce(block["level"], F.lit(0)) == 0, 1).otherwise(block["level"])
-    rows = F.transform(F.coalesce(block["rows"], F.expr("cast(array() as array<array<string>>)")), lambda row: F.transform(row, lambda c: convert(F.coalesce(c, F.lit("")))))
-    return F.struct(
-        F.when(kind.isin("table", "heading"), kind).otherwise("paragraph").alias("type"),
-        F.when(kind == "heading", level).otherwise(null.cast("int")).alias("level"),
-        F.when(kind == "table", null.cast("string")).otherwise(text).alias("text"),
-        F.when(kind == "table", rows).otherwise(null.cast("array<array<string>>")).alias("rows"),
-    )
+    kind = block["type"] if block["type"] in ("table", "heading") else "paragraph"
+    if kind == "table":
+        return {"type": kind, "level": None, "text": None, "rows": [[change(c or "") for c in row or ()] for row in block["rows"] or ()]}
+    return {"type": kind, "level": (block["level"] or 1) if kind == "heading" else None, "text": change(block["text"] or "") if text is None else text, "rows": None}
+
+
+def flat_text(blocks: list[dict]) -> str:
+    """The blocks' lines; a table has its rows, cells joined by tabs."""
+    return "\n".join(line for b in blocks for line in (["\t".join(r) for r in b["rows"]] if b["type"] == "table" else [b["text"]]))
+
+
+def normalized(blocks: list[dict] | None, text: str | None, fonts: list[str | None] | None, native: bool | None, encoding: str | None, form: str) -> dict:
+    """One document: its text, encoding and confidence, the notes to add, and its blocks."""
+    blocks, text, notes = blocks or [], text or "", []
+    forced = encoding if encoding and encoding != "auto" else None
+    if forced:
+        doc = Verdict(forced, OVERRIDE, "override")
+    elif native:
+        doc = Verdict(None, OVERRIDE, "native")
+    else:
+        doc = detect_fonts(fonts or [])
+        if encoding == "auto" and doc.method == "assumed-unicode":
+            doc = detect_content(normal(clean(normal(text, form) if form in ("NFKC", "NFKD") else text), form))
+    found, confidence, mixed = doc.encoding, doc.confidence, False
+
+    if forced:
+        if forced not in charmaps.CHARMAPS:
+            notes.append(f"no conversion table for encoding '{forced}'; text left unconverted")
+    else:
+        plans = [plan(b, doc) for b in blocks]
+        segments = [s for own, _, _ in plans for s in own]
+        signals = any(b["fonts"] is not None or b["runs"] is not None for b in blocks)
+        mixed = not native and signals and len({s[0] for s in segments}) > 1
+        if mixed:
+            found = dominant(dominant(s[0] for s in own) for own, _, _ in plans)
+            confidence = min((s[1] for s in segments if s[2] and s[0] == found), default=doc.confidence) if found else doc.confidence
+            if len({s[0] for s in segments} - {None}) > 1 or any(p[2] for p in plans):
+                notes.append("multiple legacy encodings across blocks; converted per block")
+        elif doc.method == "font-signal-mixed":
+            notes.append(f"multiple legacy encodings detected; converting all as '{doc.encoding}'")
+
+    if mixed:
+        out = []
+        for b, (own, by_run, _) in zip(blocks, plans, strict=True):
+            torn = by_run and len({s[0] for s in own}) > 1
+            out.append(typed(b, lambda t, e=own[0][0]: clean(convert(t, e)), clean(joined(b["runs"], own)) if torn else None))
+        flat = clean(flat_text(out))
+    else:
+        out = [typed(b, lambda t: clean(convert(t, doc.encoding))) for b in blocks]
+        flat = clean(convert(text, doc.encoding))
+
+    def last(t: str) -> str:
+        t = normal(t, form)
+        return normal(clean(t), form) if form in ("NFKC", "NFKD") else t  # these make new spaces
+
+    if confidence < LOW:
+        notes.append(f"low encoding-detection confidence ({confidence:.2f})")
+    return {"text": last(flat), "encoding": found, "confidence": confidence, "notes": notes, "blocks": [typed(b | {"runs": None}, last) for b in out]}
 
 
-def block_lines(block: Column) -> Column:
-    """A block's lines in flat text: a table has its rows, cells joined by tabs."""
-    table = F.transform(block["rows"], lambda r: F.array_join(r, "\t", ""))
-    return F.when(block["type"] == "table", F.coalesce(table, F.expr("cast(array() as array<string>)"))).otherwise(F.array(F.coalesce(block["text"], F.lit(""))))
+_RESULT = StructType().add("seconds", DoubleType()).add("text", StringType()).add("encoding", StringType()).add("confidence", DoubleType()).add("notes", ArrayType(StringType())).add("blocks", ArrayType(BLOCK_TYPE))
+_BLOCKS = pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string())))]))
+_ARROW = pa.struct([("seconds", pa.float64()), ("text", pa.string()), ("encoding", pa.string()), ("confidence", pa.float64()), ("notes", pa.list_(pa.string())), ("blocks", _BLOCKS)])
 
 
-def flat_text(blocks: Column) -> Column:
-    return F.array_join(F.flatten(F.transform(blocks, block_lines)), "\n")
+@lru_cache(maxsize=None)
+def _pass(encoding: str | None, form: str):
+    if form not in FORMS:
+        raise ValueError(f"form must be one of {list(FORMS)}, got {form!r}")
+
+    def run(blocks: pa.Array, text: pa.Array, fonts: pa.Array, native: pa.Array) -> pa.Array:
+        out = []
+        for row in zip(*(x.to_pylist() for x in (blocks, text, fonts, native)), strict=True):
+            began = time.perf_counter()
+            found = normalized(*row, encoding, form)
+            out.append(found | {"seconds": time.perf_counter() - began})
+        return pa.array(out, _ARROW)
+
+    # not deterministic in name only: else the optimizer could call it once for each field
+    return F.arrow_udf(run, _RESULT).asNondeterministic()
 
 
 def normalize(raw: DataFrame, encoding: str | None = None, form: str = "NFC") -> DataFrame:
@@ -100,87 +146,29 @@ def normalize(raw: DataFrame, encoding: str | None = None, form: str = "NFC") ->
 
     ``encoding`` forces a charmap; ``"auto"`` allows detection by content where no font tells
     anything, which is off by default, as it can take other Latin text for legacy Vietnamese.
+    ``layer_seconds``, if there is such a column, gets the seconds of this step too.
     """
-    forced = encoding if encoding and encoding != "auto" else None
-    blocks = F.coalesce(F.col("blocks"), F.expr(f"cast(array() as {dict(raw.dtypes)['blocks']})"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = raw.withColumns({"_blocks": blocks, "_text": text, "_warnings": F.coalesce("warnings", F.expr("cast(array() as array<string>)"))})
-    native = F.coalesce(F.col("native_unicode"), F.lit(False))
-
-    if forced:
-        df = df.withColumn("_doc", verdict(F.lit(forced), OVERRIDE, "override"))
-    else:
-        fonts = F.coalesce(F.col("fonts"), F.expr("cast(array() as array<string>)"))
-        df = df.withColumn("_doc", detect_fonts(fonts))
-        if encoding == "auto":
-            silent = ~native & (F.col("_doc.method") == "assumed-unicode")
-            probe = F.when(silent, F.col("_text")).otherwise("")
-            df = df.withColumn("_probe", normal_form(clean_chars(before_clean(probe, form)), form))
-            # the condition is always true; it keeps the optimizer from copying Python calls into lambdas
-            df = df.withColumn("_gains", F.when(F.rand() >= 0, gains(F.col("_probe"))))
-            df = df.withColumn("_doc", F.when(silent, content_verdict(F.col("_gains"))).otherwise(F.col("_doc"))).drop("_probe", "_gains")
-        df = df.withColumn("_doc", F.when(native, verdict(None, OVERRIDE, "native")).otherwise(F.col("_doc")))
-
-    doc = F.col("_doc")
-    if forced:
-        df = df.withColumns({"_plans": F.lit(None), "_mixed": F.lit(False)})
-    else:
-        df = df.withColumn("_plans", F.transform("_blocks", _plan(doc)))
-        kinds = F.array_distinct(F.transform(F.flatten(F.transform("_plans", lambda p: p["segments"])), lambda s: s["enc"]))
-        signals = F.exists("_blocks", lambda b: b["fonts"].isNotNull() | b["runs"].isNotNull())
-        df = df.withColumn("_mixed", ~native & signals & (F.size(kinds) > 1))
-
-    def whole(t: Column) -> Column:
-        return clean_chars(charmaps.apply_by(t, doc["encoding"]))
-
-    def by(enc: Column):
-        return lambda t: clean_chars(charmaps.apply_by(t, enc))
-
-    def mixed_block(block: Column, plan: Column) -> Column:
-        segments = plan["segments"]
-        first = F.get(segments, 0)["enc"]
-        torn = plan["by_run"] & (F.size(F.array_distinct(F.transform(segments, lambda s: s["enc"]))) > 1)
-        pieces = F.array_join(F.transform(coalesced(block["runs"], segments), lambda p: charmaps.apply_by(p["text"], p["enc"])), "")
-        text = F.when(torn, clean_chars(pieces)).otherwise(by(first)(F.coalesce(block["text"], F.lit(""))))
-        return _typed(block, by(first), text)
-
-    uniform = F.transform("_blocks", lambda b: _typed(b, whole, whole(F.coalesce(b["text"], F.lit("")))))
-    if forced:
-        df = df.withColumn("_out", uniform)
-        flat, found, confidence = whole(F.col("_text")), doc["encoding"], doc["confidence"]
-        notes = F.array(F.lit(f"no conversion table for encoding '{forced}'; text left unconverted")) if forced not in charmaps.CHARMAPS else F.expr("cast(array() as array<string>)")
-    else:
-        df = df.withColumn("_out", F.when(F.col("_mixed"), F.zip_with("_blocks", "_plans", mixed_block)).otherwise(uniform))
-        segments = F.flatten(F.transform("_plans", lambda p: p["segments"]))
-        by_block = F.transform("_plans", lambda p: dominant(F.transform(p["segments"], lambda s: s["enc"])))
-        df = df.withColumns({"_segments": segments, "_main": F.when(F.col("_mixed"), dominant(by_block))})
-        main = F.col("_main")
-        own = F.array_min(F.transform(F.filter("_segments", lambda s: s["own"] & (s["enc"] == main)), lambda s: s["conf"]))
-        flat = F.when(F.col("_mixed"), clean_chars(flat_text(F.col("_out")))).otherwise(whole(F.col("_text")))
-        found = F.when(F.col("_mixed"), main).otherwise(doc["encoding"])
-        confidence = F.when(F.col("_mixed"), F.coalesce(own, doc["confidence"])).otherwise(doc["confidence"])
-        legacy = F.array_distinct(F.filter(F.transform("_segments", lambda s: s["enc"]), lambda e: e.isNotNull()))
-        several = F.col("_mixed") & ((F.size(legacy) > 1) | F.exists("_plans", lambda p: p["font_mixed"]))
-        notes = F.filter(
-            F.array(
-                F.when(several, "multiple legacy encodings across blocks; converted per block"),
-                F.when(~F.col("_mixed") & (doc["method"] == "font-signal-mixed"), F.concat(F.lit("multiple legacy encodings detected; converting all as '"), doc["encoding"], F.lit("'"))),
-            ),
-            lambda x: x.isNotNull(),
-        )
-    df = df.withColumns({"_flat": flat, "_found": found, "_confidence": confidence, "_notes": notes})
-    if form in ("NFKC", "NFKD"):  # these make new spaces, so the cleanup runs once more behind them
-        df = df.withColumns({"_flat": normal_form(F.col("_flat"), form), "_out": blocks_normal_form(F.col("_out"), form)})
-        again = F.transform("_out", lambda b: _typed(b, clean_chars, clean_chars(F.coalesce(b["text"], F.lit("")))))
-        df = df.withColumns({"_flat": clean_chars(F.col("_flat")), "_out": again})
-    low = F.when(F.col("_confidence") < LOW, F.array(F.format_string("low encoding-detection confidence (%.2f)", "_confidence"))).otherwise(F.expr("cast(array() as array<string>)"))
+    df = raw.withColumn("_n", _pass(encoding, form)("blocks", "text", "fonts", "native_unicode"))
+    n, none = F.col("_n"), F.expr("cast(array() as array<string>)")
     columns = {
-        "text": normal_form(F.col("_flat"), form),
+        "text": n["text"],
         "lang": F.lit(None).cast("string"),
-        "encoding_detected": F.col("_found"),
-        "encoding_confidence": F.col("_confidence"),
-        "warnings": F.concat("_warnings", "_notes", low),
-        "blocks": blocks_normal_form(F.col("_out"), form),
+        "encoding_detected": n["encoding"],
+        "encoding_confidence": n["confidence"],
+        "warnings": F.concat(F.coalesce("warnings", none), n["notes"]),
+        "blocks": n["blocks"],
     }
+    if "layer_seconds" in raw.columns:
+        columns["layer_seconds"] = F.map_concat(F.coalesce("layer_seconds", F.expr("cast(map() as map<string, double>)")), F.create_map(F.lit("normalize"), n["seconds"]))
     kept = [F.col(f"`{c}`") for c in raw.columns if c not in (*columns, "fonts", "native_unicode")]
-    return df.select(*kept, *[c.alias(n) for n, c in columns.items()])
+    return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
+
+
+@lru_cache(maxsize=1)
+def _dominant():
+    return F.arrow_udf(lambda values: pa.array([None if v is None else dominant(v) for v in values.to_pylist()], pa.string()), StringType())
+
+
+def dominant_encoding(encodings: Column) -> Column:
+    """The most frequent non-null value of an array of encodings; of equals the first."""
+    return _dominant()(encodings)

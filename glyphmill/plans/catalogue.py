@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType
+from pyspark.sql.types import BinaryType, DoubleType, StringType, StructType
 
 from .. import schema as S
 from ..functions import charmaps, detect, text as T
@@ -21,7 +21,8 @@ from ..operators import chunk as C
 from ..operators import normalize as N
 from ..operators import records as R
 from ..operators import render as D
-from ..sources import containers, reader, sniff
+from ..options import Settings
+from ..sources import cache, containers, parsers, reader, shared, sniff
 from ..sources.parsers import DEFAULT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,7 +44,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return shared.read_table(spark, sf_dir, name)
 
 
 def q(text: str) -> str:
@@ -61,9 +62,9 @@ def q(text: str) -> str:
 # --- legacy surfaces
 
 
-def surface(name: str) -> tuple[str, str, str]:
+def surface(name: str, least: int = 0) -> tuple[str, str, str]:
     """Letters, what they are written as in a legacy encoding, and what that stands for."""
-    pairs = [p for p in charmaps.CHARMAPS[name] if len(p[0]) == 1][: len(LETTERS)]
+    pairs = [p for p in charmaps.CHARMAPS[name] if len(p[0]) == 1 and ord(p[0]) >= least][: len(LETTERS)]
     return LETTERS[: len(pairs)], "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
 
 
@@ -274,7 +275,14 @@ def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents")), "text").select("doc_id", "text")
 
 
-@query()
+_JSON_BLOCKS = f"""select doc_id, string_agg(case when len(line) <= {HEAD} then '    {{' || chr(10) || '      "type": "heading",' || chr(10) || '      "level": 2,' else '    {{' || chr(10) || '      "type": "paragraph",' end
+  || chr(10) || '      "text": ' || to_json(line)::varchar || chr(10) || '    }}', ',' || chr(10) order by pos) as body from lines where trim(line) <> '' group by doc_id"""
+
+
+@query(f"""with {LINES}, bodies as ({_JSON_BLOCKS}),
+whole as (select d.*, coalesce(body, case when text <> '' then '    {{' || chr(10) || '      "type": "paragraph",' || chr(10) || '      "text": ' || to_json(text)::varchar || chr(10) || '    }}' end) as b from documents d left join bodies using (doc_id))
+select doc_id, '{{' || chr(10) || array_to_string(['  "schema_version": "{S.SCHEMA_VERSION}"', '  "source": "doc:' || doc_id || '"', '  "content_type": "text/plain"', '  "page": null', '  "sheet": ' || to_json(source)::varchar, '  "lang": null',
+  '  "encoding_detected": null', '  "encoding_confidence": 0.9', '  "engine": "table"', '  "warnings": []', '  "blocks": [' || coalesce(chr(10) || b || chr(10) || '  ', '') || ']'], ',' || chr(10)) || chr(10) || '}}' as text from whole""")
 def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents")), "json").select("doc_id", "text")
 
@@ -339,6 +347,38 @@ def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.records(docs).join(labels, "doc_id", "left").select("doc_id", "chunk_index", "text", "source", "sheet", "section", "quality")
 
 
+def _sectioned(docs: DataFrame) -> DataFrame:
+    """Documents with headings, and every fourth block that is none as a table with a blank row."""
+
+    def block(b: Column, i: Column) -> Column:
+        table_ = (b["type"] == "paragraph") & (i % 4 == 3)
+        rows = F.array(F.array(b["text"], F.lit("")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("x"), b["text"]))
+        null = F.lit(None)
+        return F.struct(F.when(table_, "table").otherwise(b["type"]).alias("type"), b["level"].alias("level"), F.when(~table_, b["text"]).alias("text"), F.when(table_, rows).otherwise(null).alias("rows"))
+
+    return normalized(docs).withColumn("blocks", F.transform("blocks", block))
+
+
+@query(f"""with recursive {LINES},
+kept as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as i, line, len(line) <= {HEAD} as head from lines where trim(line) <> ''),
+parts as (select doc_id, i, 0 as j, line as text, head from kept where head or i % 4 <> 3
+  union all select doc_id, i, 0, line || chr(9), false from kept where not head and i % 4 = 3
+  union all select doc_id, i, 2, 'x' || chr(9) || line, false from kept where not head and i % 4 = 3),
+units as (select *, row_number() over (partition by doc_id order by i, j) - 1 as u, {WORDS_SQL.format('text')} as n, last_value(case when head then text end ignore nulls) over (partition by doc_id order by i, j rows unbounded preceding) as section from parts),
+summed as (select *, cast(sum(n) over (partition by doc_id order by u) as bigint) as total from units),
+lists as (select doc_id, list(text order by u) as texts, list(coalesce(section, '') order by u) as sections, list_prepend(0, list(total order by u)) as sums, list_append(list_filter(list(case when head then u end order by u), lambda x: x is not null), count(*)) as breaks from summed group by doc_id),
+walk(doc_id, i, a, b) as (
+  select doc_id, 0, cast(0 as bigint), least(list_filter(breaks, lambda x: x > 0)[1], greatest(1, len(list_filter(sums, lambda x: x <= {CHUNK})) - 1)) from lists
+  union all
+  select w.doc_id, w.i + 1, w.c, least(list_filter(breaks, lambda x: x > w.c)[1], greatest(w.c + 1, len(list_filter(sums, lambda x: x <= sums[w.c + 1] + {CHUNK})) - 1)) from (
+    select doc_id, i, case when list_contains(breaks, b) then b else greatest(a + 1, least(b, len(list_filter(sums, lambda x: x <= sums[b + 1] - {OVERLAP})) - 1)) end as c from walk join lists using (doc_id) where b < len(sums) - 1) w join lists using (doc_id)
+)
+select doc_id, cast(i as integer) as chunk_index, array_to_string(texts[a + 1 : b], chr(10)) as text, sections[a + 1] as section from walk join lists using (doc_id)""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.chunk(_sectioned(table(spark, sf_dir, "documents")), CHUNK, OVERLAP)
+    return out.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("text"), F.col("c.metadata.section").alias("section"))
+
+
 # --- the whole normaliser: four shapes of documents
 
 _FIRST, _REST = "left(text, 200)", "substr(text, 201)"
@@ -346,9 +386,9 @@ _FIRST, _REST = "left(text, 200)", "substr(text, 201)"
 
 def _extraction(docs: DataFrame) -> DataFrame:
     """Shape 0: a TCVN3 block and a plain one; 1: the same as two runs of a block; 2: a VNI block and
-    two TCVN3 blocks; 3: one block whose font is legacy, uniform."""
+    two TCVN3 blocks; 3: one block of the whole text whose font is legacy, uniform."""
     a, b = F.substring("text", 1, 200), F.expr(_REST)
-    legacy = to_legacy(a, "tcvn3")
+    legacy, whole = to_legacy(a, "tcvn3"), to_legacy(F.col("text"), "tcvn3")
     k = F.pmod("doc_id", F.lit(4))
 
     def block(text: Column, font: str | None, runs: Column | None = None) -> Column:
@@ -360,16 +400,17 @@ def _extraction(docs: DataFrame) -> DataFrame:
         F.when(k == 0, F.array(block(legacy, ".VnTime"), block(b, "Arial")))
         .when(k == 1, F.array(block(F.concat(legacy, b), None, runs)))
         .when(k == 2, F.array(block(to_legacy(b, "vni"), "VNI-Times"), block(legacy, ".VnTime"), block(legacy, ".VnArial")))
-        .otherwise(F.array(block(legacy, ".VnTime")))
+        .otherwise(F.array(block(whole, ".VnTime")))
     )
     fonts = F.when(k == 2, F.array(F.lit("VNI-Times"), F.lit(".VnTime"))).when(k == 3, F.array(F.lit(".VnTime"))).otherwise(F.array(F.lit(".VnTime"), F.lit("Arial")))
     null = F.lit(None).cast("string")
-    return docs.select("doc_id", F.lit("x").alias("source"), F.lit(S.DOCX).alias("content_type"), legacy.alias("text"), F.lit("docx").alias("engine"), F.lit(None).cast("int").alias("page"), null.alias("sheet"), fonts.alias("fonts"), F.lit(None).cast("boolean").alias("native_unicode"), F.expr("cast(array() as array<string>)").alias("warnings"), blocks.alias("blocks"))
+    return docs.select("doc_id", F.lit("x").alias("source"), F.lit(S.DOCX).alias("content_type"), whole.alias("text"), F.lit("docx").alias("engine"), F.lit(None).cast("int").alias("page"), null.alias("sheet"), fonts.alias("fonts"), F.lit(None).cast("boolean").alias("native_unicode"), F.expr("cast(array() as array<string>)").alias("warnings"), blocks.alias("blocks"))
 
 
 _A = clean_sql(convert_sql(legacy_sql(_FIRST, "tcvn3"), "tcvn3"))
 _A_RAW = convert_sql(legacy_sql(_FIRST, "tcvn3"), "tcvn3")
 _V = clean_sql(convert_sql(legacy_sql(_REST, "vni"), "vni"))
+_WHOLE = clean_sql(convert_sql(legacy_sql("text", "tcvn3"), "tcvn3"))
 
 
 @query(f"""
@@ -377,8 +418,8 @@ select doc_id, case doc_id % 4
     when 0 then {clean_sql(_A + " || chr(10) || " + clean_sql(_REST))}
     when 1 then {clean_sql(_A_RAW + " || " + _REST)}
     when 2 then {clean_sql(_V + " || chr(10) || " + _A + " || chr(10) || " + _A)}
-    else {_A} end as text,
-  case when doc_id % 4 = 2 then 'tcvn3' else 'tcvn3' end as encoding_detected, 0.95::double as encoding_confidence,
+    else {_WHOLE} end as text,
+  'tcvn3' as encoding_detected, 0.95::double as encoding_confidence,
   case when doc_id % 4 = 2 then 'multiple legacy encodings across blocks; converted per block' else '' end as warnings
 from documents
 """)
@@ -387,6 +428,24 @@ def mixed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "encoding_detected", "encoding_confidence", F.array_join("warnings", "; ").alias("warnings"))
 
 
+_, _OLD, _ = surface("viscii", 0xAE)
+_AUTO = f"translate(text, '{LETTERS}', {q(_OLD)})"
+
+
+@query(_content_sql(clean_sql(_AUTO)) + f"""
+select d.doc_id, {clean_sql("case when clear and kind = 'tcvn3' then " + convert_sql("s", "tcvn3") + " when clear and kind = 'viscii' then " + convert_sql("s", "viscii") + " when clear and kind = 'vni' then " + convert_sql("s", "vni") + " else s end")} as text,
+  case when clear then kind end as encoding_detected, round(case when clear then least(0.85, 0.5 + gain) else 0.5 end, 6) as encoding_confidence,
+  case when clear and 0.5 + gain >= 0.75 then '' else 'low encoding-detection confidence (' || format('{{:.2f}}', case when clear then 0.5 + gain else 0.5 end) || ')' end as warnings
+from (select doc_id, {_AUTO} as s from documents) d left join best using (doc_id)""")
+def auto_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without any font, in a legacy surface, which is found by content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", LETTERS, _OLD).alias("text"))
+    null, none = F.lit(None).cast("string"), F.expr("cast(array() as array<string>)")
+    raw = docs.select("doc_id", F.lit("x").alias("source"), F.lit(S.RTF).alias("content_type"), "text", F.lit("rtf").alias("engine"), F.lit(None).cast("int").alias("page"), null.alias("sheet"), none.alias("fonts"), F.lit(None).cast("boolean").alias("native_unicode"), none.alias("warnings"), F.expr(f"cast(array() as array<{S.RAW_BLOCK}>)").alias("blocks"))
+    out = N.normalize(raw, "auto")
+    return out.select("doc_id", "text", "encoding_detected", F.round("encoding_confidence", 6).alias("encoding_confidence"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 _ENC = "case (doc_id + pos * 7) % 3 when 0 then 'tcvn3' when 1 then 'vni' end"
 
 
@@ -397,19 +456,22 @@ select d.doc_id, e as encoding from documents d left join ranked r on d.doc_id =
 def dominant_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.split("text", "\n")
     found = F.transform(number, lambda x, pos: F.when((F.col("doc_id") + pos * 7) % 3 == 0, "tcvn3").when((F.col("doc_id") + pos * 7) % 3 == 1, "vni"))
-    return table(spark, sf_dir, "documents").select("doc_id", N.dominant(found).alias("encoding"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.dominant_encoding(found).alias("encoding"))
 
 
 # --- containers
 
-_BYTES = (("a.pdf", b"%PDF-1.7 /Font"), ("b.pdf", b"%PDF-1.4 image"), ("c.doc", bytes.fromhex("D0CF11E0A1B11AE1") + b"x"), ("d.rtf", b"{\\rtf1 x}"), ("e.rtf", b"\xef\xbb\xbf{\\rtf1 x}"), ("f.txt", b"plain"), ("g.bin", b""))
+_HEADS = (b"%PDF-1.7 /Font", b"%PDF-1.4 image", bytes.fromhex("D0CF11E0A1B11AE1"), b"{\\rtf1 ", b"\xef\xbb\xbf{\\rtf1 ", b"", b"PK\x03\x04")
 
 
-@query("""select path, case when hex like '255044462D%' then 'application/pdf' when hex like 'D0CF11E0A1B11AE1%' then 'application/x-ole-storage' when hex like '7B5C727466%' or hex like 'EFBBBF7B5C727466%' then 'application/rtf' end as content_type,
-  case when hex like '255044462D%' and contains(hex, '2F466F6E74') then false end as is_scanned_pdf from (values """ + ", ".join(f"('{n}', '{b.hex().upper()}')" for n, b in _BYTES) + ") t(path, hex)")
+@query("""select doc_id, case doc_id % 7 when 0 then 'application/pdf' when 1 then 'application/pdf' when 2 then 'application/x-ole-storage' when 3 then 'application/rtf' when 4 then 'application/rtf' end as content_type,
+  case when doc_id % 7 = 0 or doc_id % 7 = 1 and contains(left(text, 65522), '/Font') then false end as is_scanned_pdf,
+  case doc_id % 7 when 5 then 'UnsupportedFormat' when 6 then 'UnsupportedFormat' end as error_class from documents""")
 def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(n, bytearray(b)) for n, b in _BYTES], "path string, content binary")
-    return sniff.sniff(rows).select("path", "content_type", "is_scanned_pdf")
+    """Every document's text behind the first bytes of some format."""
+    head = F.get(F.array(*[F.unhex(F.lit(h.hex())) for h in _HEADS]), F.pmod("doc_id", F.lit(len(_HEADS))).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    return sniff.sniff(rows).select("doc_id", "content_type", "is_scanned_pdf", "error_class")
 
 
 def _files(docs: DataFrame, content: Column) -> DataFrame:
@@ -431,7 +493,7 @@ def rtf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     for old in "\\{}":
         body = F.replace(body, F.lit(old), F.lit("\\" + old))
     body = F.concat(F.lit("{\\rtf1\\ansi "), F.replace(body, F.lit("\n"), F.lit("\\par ")), F.lit("}"))
-    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.encode(body, "ISO-8859-1")), 1 << 30))
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.encode(body, "ISO-8859-1")), 1 << 30, at_hand=True))
 
 
 def _docx_bytes(texts: pa.Array) -> pa.Array:
@@ -444,12 +506,12 @@ def _xlsx_bytes(texts: pa.Array) -> pa.Array:
 
 @query(f"select doc_id, '{S.DOCX}' as content_type, 'docx' as engine, {clean_sql(_PLAIN_LINES)} as text, {_LINE_COUNT} as blocks from documents")
 def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_docx_bytes, BinaryType())("text")), 1 << 30))
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_docx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
 
 
 @query(f"""select doc_id, '{S.XLSX}' as content_type, 'xlsx' as engine, {clean_sql("'Sheet' || chr(10) || replace(rtrim(text, chr(10)), chr(10), chr(9) || chr(10)) || chr(9)")} as text, 2 as blocks from documents where trim(text, ' ' || chr(10)) <> ''""")
 def xlsx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_xlsx_bytes, BinaryType())("text")), 1 << 30))
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_xlsx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
 
 
 @query("select doc_id, octet_length(encode(text)) as length, octet_length(encode(text)) > 4096 as refused from documents")
@@ -460,17 +522,17 @@ def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sizes.join(out, "source").select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("doc_id"), "length", "refused")
 
 
-@query("select sha256(text) as hash, min(doc_id) as doc_id, count(*) as copies from documents group by 1")
+@query("select sha256(text) as hash, min(doc_id) as first, count(*) as copies from documents group by 1")
 def dedupe_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("hash"))
-    return docs.groupBy("hash").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+    return cache.by_content(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
 
 
 @query("with keys as (select doc_id, sha256(text) as key from documents) select doc_id from keys where key not in (select key from keys where doc_id in (select doc_id from labels))")
 def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("key"))
-    done = keys.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
-    return keys.join(done, "key", "left_anti").select("doc_id")
+    """What a cache that holds the labelled documents' contents has not."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", cache.cache_key(F.encode("text", "UTF-8"), F.lit("x"), Settings()).alias("key"))
+    done = keyed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
+    return cache.misses(keyed, done).select("doc_id")
 
 
 _ASKED = [(kind, ocr) for kind in (S.DOCX, S.XLSX, S.PPTX, S.PDF, S.RTF, S.OLE2) for ocr in (None, False, True)]
@@ -490,14 +552,453 @@ fit as (select a.content_type, a.ocr, e.name, e.priority, e.seq, e.scan, max(coa
 kept as (select *, row_number() over (partition by content_type, ocr order by priority desc, seq) as k from fit where name is not null and case when coalesce(ocr, false) and any_scan then scan else not scan end)
 select a.content_type, a.ocr, k.name as engine from asked a left join kept k on a.content_type = k.content_type and a.ocr is not distinct from k.ocr and k.k = 1""")
 def engine_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = spark.createDataFrame(_ASKED, "content_type string, ocr boolean")
-    engines = spark.createDataFrame(_ENGINES, "name string, content_type string, priority int, scan boolean, seq int")
-    group = W.partitionBy("content_type", "ocr")
-    fit = asked.join(engines, "content_type").withColumn("any_scan", F.max("scan").over(group))
-    kept = fit.where(F.when(F.coalesce("ocr", F.lit(False)) & F.col("any_scan"), F.col("scan")).otherwise(~F.col("scan")))
-    first = kept.withColumn("k", F.row_number().over(group.orderBy(F.desc("priority"), "seq"))).where("k = 1")
-    chosen = first.select(F.col("content_type").alias("ct"), F.col("ocr").alias("o"), F.col("name").alias("engine"))
-    return asked.join(chosen, (F.col("content_type") == F.col("ct")) & F.col("ocr").eqNullSafe(F.col("o")), "left").select("content_type", "ocr", "engine")
+    registry = parsers.Registry(DEFAULT)
+    rows = [(kind, ocr, next((e.name for e in registry.chain(kind, ocr)), None)) for kind, ocr in _ASKED]
+    return spark.createDataFrame(rows, "content_type string, ocr boolean, engine string")
+
+
+_PAGE = StructType().add("text", StringType()).add("confidence", DoubleType())
+
+
+def _ocr_pages(words: pa.Array, confidences: pa.Array) -> pa.Array:
+    found = [parsers.ocr_page(w or [], c or []) for w, c in zip(words.to_pylist(), confidences.to_pylist(), strict=True)]
+    return pa.array([{"text": t, "confidence": c} for t, c in found], pa.struct([("text", pa.string()), ("confidence", pa.float64())]))
+
+
+@query("""with words as (select conv_id, turn, unnest(string_split(text, ' ')) as w from conversations), scored as (select conv_id, turn, w, case when w like '%,%' then -1 else len(w) * 10 end as conf from words),
+pages as (select conv_id, turn, avg(case when conf >= 0 then conf end) as mean, count(case when conf >= 0 and trim(w) <> '' then 1 end) as n from scored group by all)
+select conv_id, count(case when n > 0 then 1 end) as pages, count(case when n > 0 and mean < 60 then 1 end) as weak_pages from pages group by conv_id""")
+def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words as an OCR page's table, with confidences made from their lengths."""
+    words = F.split("text", " ")
+    confidences = F.transform(words, lambda w: F.when(F.contains(w, F.lit(",")), -1.0).otherwise(F.length(w) * 10.0))
+    pages = table(spark, sf_dir, "conversations").select("conv_id", F.arrow_udf(_ocr_pages, _PAGE)(words, confidences).alias("p"))
+    weak = (F.col("p.text") != "") & (F.col("p.confidence") < parsers.WEAK)
+    return pages.groupBy("conv_id").agg(F.count_if(F.col("p.text") != "").alias("pages"), F.count_if(weak).alias("weak_pages"))
+
+
+@query(f"select doc_id, {clean_sql(dirty_sql('text'))} as text from documents")
+def clean_text_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.clean_text(dirty(F.col("text"))).alias("text"))
+
+
+@query("select doc_id, nfc_normalize(text) as text from documents")
+def nfc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = table(spark, sf_dir, "documents").select("doc_id", T.normal_form(F.col("text"), "NFD").alias("text"))
+    return apart.select("doc_id", T.normal_form(F.col("text")).alias("text"))
+
+
+@query(f"select doc_id, cast({WORDS_SQL.format(dirty_sql('text'))} as integer) as tokens from documents")
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(dirty(F.col("text"))).alias("tokens"))
+
+
+@query(f"select lang, cast(sum({WORDS_SQL.format('text')}) as bigint) as tokens, count(*) as documents from documents group by lang")
+def token_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.sum(T.estimate_tokens(F.col("text")).cast("long")).alias("tokens"), F.count("*").alias("documents"))
+
+
+# --- scores and verdicts
+
+_MODEL = "model(c, lp) as (values " + ", ".join(f"({q(c)}, {p!r}::double)" for c, p in sorted(T.LOG_PROB.items())) + ")"
+
+
+def score_sql(texts: str) -> str:
+    """CTEs up to ``scored(doc_id, kind, score)`` from a query of (doc_id, kind, t)."""
+    return f"""
+with {_MODEL}, texts as ({texts}),
+chars as (select doc_id, kind, unnest(string_split(lower(t), '')) as c from texts where t <> ''),
+scored as (select doc_id, kind, avg(coalesce(lp, {T.FLOOR!r})) as score from chars left join model using (c) group by all)
+"""
+
+
+@query(score_sql("select doc_id, '' as kind, text as t from documents") + "select doc_id, round(score, 6) as score from scored")
+def vietnamese_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(T.vietnamese_score(F.col("text")), 6).alias("score"))
+
+
+def _content_sql(text: str) -> str:
+    variants = " union all ".join([f"select doc_id, '' as kind, {text} as t from documents", *(f"select doc_id, '{n}', {convert_sql(text, n)} from documents" for n in charmaps.AUTO_DETECT)])
+    return score_sql(variants) + """,
+gains as (select s.doc_id, s.kind, s.score - b.score as gain from scored s join scored b on s.doc_id = b.doc_id and b.kind = '' and s.kind <> ''),
+ranked as (select *, row_number() over (partition by doc_id order by gain desc, kind desc) as n from gains),
+best as (select a.doc_id, a.kind, a.gain, a.gain >= 0.15 and a.gain - b.gain >= 0.05 as clear from ranked a join ranked b on a.doc_id = b.doc_id and a.n = 1 and b.n = 2)
+"""
+
+
+_VISCII = legacy_sql("text", "viscii")
+
+
+@query(_content_sql(_VISCII) + "select doc_id, case when clear then kind end as encoding, round(case when clear then least(0.85, 0.5 + gain) else 0.5 end, 6) as confidence, case when clear then 'content-frequency' else 'assumed-unicode' end as method from best")
+def content_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", detect.gains(to_legacy(F.col("text"), "viscii")).alias("g"))
+    v = docs.select("doc_id", detect.content_verdict(F.col("g")).alias("v"))
+    return v.select("doc_id", "v.encoding", F.round("v.confidence", 6).alias("confidence"), "v.method")
+
+
+@query(_content_sql("text") + "select lang, count(*) as documents, count(case when clear then 1 end) as taken_for_legacy from best join documents using (doc_id) group by lang")
+def content_negative_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("lang", detect.gains(F.col("text")).alias("g"))
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.count(detect.content_verdict(F.col("g"))["encoding"]).alias("taken_for_legacy"))
+
+
+FONTS = ((".VnTime",), ("ABCDEF+.VnArial", "Arial"), ("VNI-Times", ".VnTime"), ("Arial", "Times"), ("", None), ("vni-helve", "VNI-Times"))
+_VERDICTS = (("tcvn3", 0.95, "font-signal", ".VnTime"), ("tcvn3", 0.95, "font-signal", "ABCDEF+.VnArial"), ("vni", 0.6, "font-signal-mixed", "VNI-Times"), (None, 0.9, "no-legacy-font", None), (None, 0.5, "assumed-unicode", None), ("vni", 0.95, "font-signal", "vni-helve"))
+
+
+def _fonts_of(number: Column) -> Column:
+    arrays = F.array(*[F.array(*[F.lit(f).cast("string") for f in fonts]) for fonts in FONTS])
+    return F.get(arrays, F.pmod(number, F.lit(len(FONTS))).cast("int"))
+
+
+_values = ", ".join(f"({i}, {q(e) if e else 'null'}, {c}::double, {q(m)}, {q(f) if f else 'null'})" for i, (e, c, m, f) in enumerate(_VERDICTS))
+
+
+@query(f"select doc_id, encoding, confidence, method, font from documents join (values {_values}) v(k, encoding, confidence, method, font) on doc_id % {len(FONTS)} = k")
+def font_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", detect.detect_fonts(_fonts_of(F.col("doc_id"))).alias("v"))
+    return docs.select("doc_id", "v.*")
+
+
+# --- blocks from lines: a line of up to HEAD characters is a heading of level 2
+
+HEAD = 20
+LINES = "lines as (select doc_id, unnest(range(len(l))) as pos, unnest(l) as line from (select doc_id, string_split(text, chr(10)) as l from documents))"
+
+
+def lines(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+
+
+def raw_blocks(text: Column, heads: bool = True) -> Column:
+    def block(line: Column) -> Column:
+        head = (F.length(line) <= HEAD) & F.lit(heads)
+        return F.struct(F.when(head, "heading").otherwise("paragraph").alias("type"), F.when(head, 2).cast("int").alias("level"), line.alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"))
+
+    return F.transform(F.filter(F.split(text, "\n"), lambda x: T.trim_ws(x) != ""), block)
+
+
+def normalized(docs: DataFrame, heads: bool = True) -> DataFrame:
+    """Documents as rows of ``normalized_doc``, with ``doc_id``."""
+    null = F.lit(None).cast("string")
+    return docs.select("doc_id", F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("source"), F.lit("text/plain").alias("content_type"), "text", F.lit("table").alias("engine"), F.lit(None).cast("int").alias("page"), F.col("source").alias("sheet"), null.alias("lang"), null.alias("encoding_detected"), F.lit(0.9).alias("encoding_confidence"), F.expr("cast(array() as array<string>)").alias("warnings"), raw_blocks(F.col("text"), heads).alias("blocks"))
+
+
+@query(f"with {LINES} select doc_id, cast(row_number() over (partition by doc_id order by pos) - 1 as integer) as pos, line as text from lines where trim(line) <> ''")
+def lines_to_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.posexplode(raw_blocks(F.col("text"))).alias("pos", "b")).select("doc_id", "pos", F.col("b.text").alias("text"))
+
+
+@query(f"""with {LINES}
+select doc_id, cast(pos as integer) as pos, line as text, coalesce(last_value(case when len(line) <= {HEAD} then line end ignore nulls) over (partition by doc_id order by pos rows unbounded preceding), '') as section
+from (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as pos, line from lines where trim(line) <> '')""")
+def heading_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = docs.select("doc_id", F.posexplode(C.units(raw_blocks(F.col("text")))).alias("pos", "u"))
+    order = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    section = F.coalesce(F.last(F.when(F.col("u.head"), F.col("u.text")), ignorenulls=True).over(order), F.lit(""))
+    return found.select("doc_id", "pos", F.col("u.text").alias("text"), section.alias("section"))
+
+
+@query(f"with {LINES} select doc_id, coalesce(string_agg(case when len(line) <= {HEAD} then '## ' || line else line end, chr(10) || chr(10) order by pos), '') as text from lines where trim(line) <> '' group by doc_id")
+def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.render(normalized(table(spark, sf_dir, "documents"))).select("doc_id", "text")
+
+
+@query("select doc_id, text from documents")
+def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.render(normalized(table(spark, sf_dir, "documents")), "text").select("doc_id", "text")
+
+
+_JSON_BLOCKS = f"""select doc_id, string_agg(case when len(line) <= {HEAD} then '    {{' || chr(10) || '      "type": "heading",' || chr(10) || '      "level": 2,' else '    {{' || chr(10) || '      "type": "paragraph",' end
+  || chr(10) || '      "text": ' || to_json(line)::varchar || chr(10) || '    }}', ',' || chr(10) order by pos) as body from lines where trim(line) <> '' group by doc_id"""
+
+
+@query(f"""with {LINES}, bodies as ({_JSON_BLOCKS}),
+whole as (select d.*, coalesce(body, case when text <> '' then '    {{' || chr(10) || '      "type": "paragraph",' || chr(10) || '      "text": ' || to_json(text)::varchar || chr(10) || '    }}' end) as b from documents d left join bodies using (doc_id))
+select doc_id, '{{' || chr(10) || array_to_string(['  "schema_version": "{S.SCHEMA_VERSION}"', '  "source": "doc:' || doc_id || '"', '  "content_type": "text/plain"', '  "page": null', '  "sheet": ' || to_json(source)::varchar, '  "lang": null',
+  '  "encoding_detected": null', '  "encoding_confidence": 0.9', '  "engine": "table"', '  "warnings": []', '  "blocks": [' || coalesce(chr(10) || b || chr(10) || '  ', '') || ']'], ',' || chr(10)) || chr(10) || '}}' as text from whole""")
+def render_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.render(normalized(table(spark, sf_dir, "documents")), "json").select("doc_id", "text")
+
+
+_CELL = "replace(replace({0}, chr(92), chr(92) || chr(92)), '|', chr(92) || '|')"
+
+
+@query(f"""
+select r_name, '| nation | comment |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || {_CELL.format('n_name')} || '|x | ' || {_CELL.format("n_nationkey::varchar")} || '<br>' || ' |', chr(10) order by n_nationkey) as text
+from nation join region on n_regionkey = r_regionkey group by r_name
+""".replace("|x |", chr(92) + "|x |"))
+def render_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    cells = F.array(F.concat("n_name", F.lit("|x")), F.concat(F.col("n_nationkey").cast("string"), F.lit("\n")))
+    rows = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", cells.alias("cells")))).alias("rows"))
+    head = F.array(F.array(F.lit("nation"), F.lit("comment")))
+    return rows.select("r_name", D.table_markdown(F.concat(head, F.col("rows.cells"))).alias("text"))
+
+
+# --- chunks
+
+_CHUNKS = f"""
+units as (select doc_id, row_number() over (partition by doc_id order by pos) as i, line, {WORDS_SQL.format('line')} as n from lines where trim(line) <> ''),
+lists as (select doc_id, list(line order by i) as texts, list_prepend(0, list(total order by i)) as sums from (select *, cast(sum(n) over (partition by doc_id order by i) as bigint) as total from units) group by doc_id),
+"""
+
+
+def _walk_sql(overlap: int) -> str:
+    """(doc_id, i, a, b): chunk i has the units a..b-1, by prefix sums of tokens."""
+    end = f"greatest({{0}} + 1, len(list_filter(sums, lambda x: x <= sums[{{0}} + 1] + {CHUNK})) - 1)"
+    back = f"greatest(a + 1, case when {overlap} = 0 then b else least(b, len(list_filter(sums, lambda x: x <= sums[b + 1] - {overlap})) - 1) end)"
+    return f"""
+walk(doc_id, i, a, b) as (
+  select doc_id, 0, cast(0 as bigint), {end.format('0')} from lists
+  union all
+  select w.doc_id, w.i + 1, w.c, {end.format('w.c')} from (select doc_id, i, {back} as c from walk join lists using (doc_id) where b < len(sums) - 1) w join lists using (doc_id)
+)"""
+
+
+def _chunks_sql(overlap: int) -> str:
+    return f"with recursive {LINES}, {_CHUNKS} {_walk_sql(overlap)}, chunks as (select doc_id, cast(i as integer) as chunk_index, array_to_string(texts[a + 1 : b], chr(10)) as text from walk join lists using (doc_id))"
+
+
+def _chunked(spark: SparkSession, sf_dir: str, overlap: int) -> DataFrame:
+    return C.chunk(normalized(table(spark, sf_dir, "documents"), heads=False), CHUNK, overlap)
+
+
+@query(_chunks_sql(0) + " select doc_id, chunk_index, text from chunks")
+def chunk_no_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, 0).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("text"))
+
+
+@query(_chunks_sql(OVERLAP) + " select doc_id, chunk_index, text from chunks")
+def chunk_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _chunked(spark, sf_dir, OVERLAP).select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("text"))
+
+
+@query(_chunks_sql(OVERLAP) + " select c.doc_id, chunk_index, c.text, 'doc:' || c.doc_id as source, d.source as sheet, '' as section, quality from chunks c join documents d using (doc_id) left join labels using (doc_id)")
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = D.render(_chunked(spark, sf_dir, OVERLAP))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return R.records(docs).join(labels, "doc_id", "left").select("doc_id", "chunk_index", "text", "source", "sheet", "section", "quality")
+
+
+def _sectioned(docs: DataFrame) -> DataFrame:
+    """Documents with headings, and every fourth block that is none as a table with a blank row."""
+
+    def block(b: Column, i: Column) -> Column:
+        table_ = (b["type"] == "paragraph") & (i % 4 == 3)
+        rows = F.array(F.array(b["text"], F.lit("")), F.array(F.lit(""), F.lit(" ")), F.array(F.lit("x"), b["text"]))
+        null = F.lit(None)
+        return F.struct(F.when(table_, "table").otherwise(b["type"]).alias("type"), b["level"].alias("level"), F.when(~table_, b["text"]).alias("text"), F.when(table_, rows).otherwise(null).alias("rows"))
+
+    return normalized(docs).withColumn("blocks", F.transform("blocks", block))
+
+
+@query(f"""with recursive {LINES},
+kept as (select doc_id, row_number() over (partition by doc_id order by pos) - 1 as i, line, len(line) <= {HEAD} as head from lines where trim(line) <> ''),
+parts as (select doc_id, i, 0 as j, line as text, head from kept where head or i % 4 <> 3
+  union all select doc_id, i, 0, line || chr(9), false from kept where not head and i % 4 = 3
+  union all select doc_id, i, 2, 'x' || chr(9) || line, false from kept where not head and i % 4 = 3),
+units as (select *, row_number() over (partition by doc_id order by i, j) - 1 as u, {WORDS_SQL.format('text')} as n, last_value(case when head then text end ignore nulls) over (partition by doc_id order by i, j rows unbounded preceding) as section from parts),
+summed as (select *, cast(sum(n) over (partition by doc_id order by u) as bigint) as total from units),
+lists as (select doc_id, list(text order by u) as texts, list(coalesce(section, '') order by u) as sections, list_prepend(0, list(total order by u)) as sums, list_append(list_filter(list(case when head then u end order by u), lambda x: x is not null), count(*)) as breaks from summed group by doc_id),
+walk(doc_id, i, a, b) as (
+  select doc_id, 0, cast(0 as bigint), least(list_filter(breaks, lambda x: x > 0)[1], greatest(1, len(list_filter(sums, lambda x: x <= {CHUNK})) - 1)) from lists
+  union all
+  select w.doc_id, w.i + 1, w.c, least(list_filter(breaks, lambda x: x > w.c)[1], greatest(w.c + 1, len(list_filter(sums, lambda x: x <= sums[w.c + 1] + {CHUNK})) - 1)) from (
+    select doc_id, i, case when list_contains(breaks, b) then b else greatest(a + 1, least(b, len(list_filter(sums, lambda x: x <= sums[b + 1] - {OVERLAP})) - 1)) end as c from walk join lists using (doc_id) where b < len(sums) - 1) w join lists using (doc_id)
+)
+select doc_id, cast(i as integer) as chunk_index, array_to_string(texts[a + 1 : b], chr(10)) as text, sections[a + 1] as section from walk join lists using (doc_id)""")
+def chunk_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = C.chunk(_sectioned(table(spark, sf_dir, "documents")), CHUNK, OVERLAP)
+    return out.select("doc_id", F.explode("chunks").alias("c")).select("doc_id", F.col("c.index").alias("chunk_index"), F.col("c.text").alias("text"), F.col("c.metadata.section").alias("section"))
+
+
+# --- the whole normaliser: four shapes of documents
+
+_FIRST, _REST = "left(text, 200)", "substr(text, 201)"
+
+
+def _extraction(docs: DataFrame) -> DataFrame:
+    """Shape 0: a TCVN3 block and a plain one; 1: the same as two runs of a block; 2: a VNI block and
+    two TCVN3 blocks; 3: one block of the whole text whose font is legacy, uniform."""
+    a, b = F.substring("text", 1, 200), F.expr(_REST)
+    legacy, whole = to_legacy(a, "tcvn3"), to_legacy(F.col("text"), "tcvn3")
+    k = F.pmod("doc_id", F.lit(4))
+
+    def block(text: Column, font: str | None, runs: Column | None = None) -> Column:
+        fonts = F.array(F.lit(font)) if font else F.lit(None).cast("array<string>")
+        return F.struct(F.lit("paragraph").alias("type"), F.lit(None).cast("int").alias("level"), text.alias("text"), F.lit(None).cast("array<array<string>>").alias("rows"), fonts.alias("fonts"), (F.lit(None).cast("array<struct<text string, font string>>") if runs is None else runs).alias("runs"))
+
+    runs = F.array(F.struct(legacy.alias("text"), F.lit(".VnTime").alias("font")), F.struct(b.alias("text"), F.lit("Arial").alias("font")))
+    blocks = (
+        F.when(k == 0, F.array(block(legacy, ".VnTime"), block(b, "Arial")))
+        .when(k == 1, F.array(block(F.concat(legacy, b), None, runs)))
+        .when(k == 2, F.array(block(to_legacy(b, "vni"), "VNI-Times"), block(legacy, ".VnTime"), block(legacy, ".VnArial")))
+        .otherwise(F.array(block(whole, ".VnTime")))
+    )
+    fonts = F.when(k == 2, F.array(F.lit("VNI-Times"), F.lit(".VnTime"))).when(k == 3, F.array(F.lit(".VnTime"))).otherwise(F.array(F.lit(".VnTime"), F.lit("Arial")))
+    null = F.lit(None).cast("string")
+    return docs.select("doc_id", F.lit("x").alias("source"), F.lit(S.DOCX).alias("content_type"), whole.alias("text"), F.lit("docx").alias("engine"), F.lit(None).cast("int").alias("page"), null.alias("sheet"), fonts.alias("fonts"), F.lit(None).cast("boolean").alias("native_unicode"), F.expr("cast(array() as array<string>)").alias("warnings"), blocks.alias("blocks"))
+
+
+_A = clean_sql(convert_sql(legacy_sql(_FIRST, "tcvn3"), "tcvn3"))
+_A_RAW = convert_sql(legacy_sql(_FIRST, "tcvn3"), "tcvn3")
+_V = clean_sql(convert_sql(legacy_sql(_REST, "vni"), "vni"))
+_WHOLE = clean_sql(convert_sql(legacy_sql("text", "tcvn3"), "tcvn3"))
+
+
+@query(f"""
+select doc_id, case doc_id % 4
+    when 0 then {clean_sql(_A + " || chr(10) || " + clean_sql(_REST))}
+    when 1 then {clean_sql(_A_RAW + " || " + _REST)}
+    when 2 then {clean_sql(_V + " || chr(10) || " + _A + " || chr(10) || " + _A)}
+    else {_WHOLE} end as text,
+  'tcvn3' as encoding_detected, 0.95::double as encoding_confidence,
+  case when doc_id % 4 = 2 then 'multiple legacy encodings across blocks; converted per block' else '' end as warnings
+from documents
+""")
+def mixed_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = N.normalize(_extraction(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "text", "encoding_detected", "encoding_confidence", F.array_join("warnings", "; ").alias("warnings"))
+
+
+_, _OLD, _ = surface("viscii", 0xAE)
+_AUTO = f"translate(text, '{LETTERS}', {q(_OLD)})"
+
+
+@query(_content_sql(clean_sql(_AUTO)) + f"""
+select d.doc_id, {clean_sql("case when clear and kind = 'tcvn3' then " + convert_sql("s", "tcvn3") + " when clear and kind = 'viscii' then " + convert_sql("s", "viscii") + " when clear and kind = 'vni' then " + convert_sql("s", "vni") + " else s end")} as text,
+  case when clear then kind end as encoding_detected, round(case when clear then least(0.85, 0.5 + gain) else 0.5 end, 6) as encoding_confidence,
+  case when clear and 0.5 + gain >= 0.75 then '' else 'low encoding-detection confidence (' || format('{{:.2f}}', case when clear then 0.5 + gain else 0.5 end) || ')' end as warnings
+from (select doc_id, {_AUTO} as s from documents) d left join best using (doc_id)""")
+def auto_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts without any font, in a legacy surface, which is found by content."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.translate("text", LETTERS, _OLD).alias("text"))
+    null, none = F.lit(None).cast("string"), F.expr("cast(array() as array<string>)")
+    raw = docs.select("doc_id", F.lit("x").alias("source"), F.lit(S.RTF).alias("content_type"), "text", F.lit("rtf").alias("engine"), F.lit(None).cast("int").alias("page"), null.alias("sheet"), none.alias("fonts"), F.lit(None).cast("boolean").alias("native_unicode"), none.alias("warnings"), F.expr(f"cast(array() as array<{S.RAW_BLOCK}>)").alias("blocks"))
+    out = N.normalize(raw, "auto")
+    return out.select("doc_id", "text", "encoding_detected", F.round("encoding_confidence", 6).alias("encoding_confidence"), F.array_join("warnings", "; ").alias("warnings"))
+
+
+_ENC = "case (doc_id + pos * 7) % 3 when 0 then 'tcvn3' when 1 then 'vni' end"
+
+
+@query(f"""with {LINES}, encs as (select doc_id, pos, {_ENC} as e from lines),
+counted as (select doc_id, e, count(*) as n, min(pos) as first from encs where e is not null group by all),
+ranked as (select *, row_number() over (partition by doc_id order by n desc, first) as k from counted)
+select d.doc_id, e as encoding from documents d left join ranked r on d.doc_id = r.doc_id and k = 1""")
+def dominant_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.split("text", "\n")
+    found = F.transform(number, lambda x, pos: F.when((F.col("doc_id") + pos * 7) % 3 == 0, "tcvn3").when((F.col("doc_id") + pos * 7) % 3 == 1, "vni"))
+    return table(spark, sf_dir, "documents").select("doc_id", N.dominant_encoding(found).alias("encoding"))
+
+
+# --- containers
+
+_HEADS = (b"%PDF-1.7 /Font", b"%PDF-1.4 image", bytes.fromhex("D0CF11E0A1B11AE1"), b"{\\rtf1 ", b"\xef\xbb\xbf{\\rtf1 ", b"", b"PK\x03\x04")
+
+
+@query("""select doc_id, case doc_id % 7 when 0 then 'application/pdf' when 1 then 'application/pdf' when 2 then 'application/x-ole-storage' when 3 then 'application/rtf' when 4 then 'application/rtf' end as content_type,
+  case when doc_id % 7 = 0 or doc_id % 7 = 1 and contains(left(text, 65522), '/Font') then false end as is_scanned_pdf,
+  case doc_id % 7 when 5 then 'UnsupportedFormat' when 6 then 'UnsupportedFormat' end as error_class from documents""")
+def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text behind the first bytes of some format."""
+    head = F.get(F.array(*[F.unhex(F.lit(h.hex())) for h in _HEADS]), F.pmod("doc_id", F.lit(len(_HEADS))).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.encode("text", "UTF-8")).alias("content"))
+    return sniff.sniff(rows).select("doc_id", "content_type", "is_scanned_pdf", "error_class")
+
+
+def _files(docs: DataFrame, content: Column) -> DataFrame:
+    made = docs.select(F.concat(F.lit("/doc/"), F.col("doc_id").cast("string")).alias("path"), content.alias("content"))
+    return made.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.octet_length("content").cast("long").alias("length"), "content")
+
+
+def _back(raw: DataFrame) -> DataFrame:
+    return N.normalize(raw).select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("doc_id"), "content_type", "engine", "text", F.size("blocks").alias("blocks"))
+
+
+_LINE_COUNT = "cast(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '')) as integer)"
+_PLAIN_LINES = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> ''), chr(10))"
+
+
+@query(f"select doc_id, '{S.RTF}' as content_type, 'rtf' as engine, {clean_sql(_PLAIN_LINES)} as text, {_LINE_COUNT} as blocks from documents")
+def rtf_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.col("text")
+    for old in "\\{}":
+        body = F.replace(body, F.lit(old), F.lit("\\" + old))
+    body = F.concat(F.lit("{\\rtf1\\ansi "), F.replace(body, F.lit("\n"), F.lit("\\par ")), F.lit("}"))
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.encode(body, "ISO-8859-1")), 1 << 30, at_hand=True))
+
+
+def _docx_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([containers.docx(*[containers.paragraph(containers.run(x)) for x in (t or "").split("\n")]) for t in texts.to_pylist()], pa.binary())
+
+
+def _xlsx_bytes(texts: pa.Array) -> pa.Array:
+    return pa.array([containers.xlsx({"Sheet": [[x, ""] for x in (t or "").split("\n")]}) for t in texts.to_pylist()], pa.binary())
+
+
+@query(f"select doc_id, '{S.DOCX}' as content_type, 'docx' as engine, {clean_sql(_PLAIN_LINES)} as text, {_LINE_COUNT} as blocks from documents")
+def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_docx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
+
+
+@query(f"""select doc_id, '{S.XLSX}' as content_type, 'xlsx' as engine, {clean_sql("'Sheet' || chr(10) || replace(rtrim(text, chr(10)), chr(10), chr(9) || chr(10)) || chr(9)")} as text, 2 as blocks from documents where trim(text, ' ' || chr(10)) <> ''""")
+def xlsx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_xlsx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
+
+
+@query("select doc_id, octet_length(encode(text)) as length, octet_length(encode(text)) > 4096 as refused from documents")
+def size_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _files(table(spark, sf_dir, "documents"), F.encode(F.concat(F.lit(""), "text"), "UTF-8"))
+    out = reader.extract(files, 4096).select("source", (F.col("error_class") == "UnsafeInput").alias("refused"))
+    sizes = files.select(F.col("path").alias("source"), "length")
+    return sizes.join(out, "source").select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("doc_id"), "length", "refused")
+
+
+@query("select sha256(text) as hash, min(doc_id) as first, count(*) as copies from documents group by 1")
+def dedupe_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cache.by_content(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("content")), "doc_id")
+
+
+@query("with keys as (select doc_id, sha256(text) as key from documents) select doc_id from keys where key not in (select key from keys where doc_id in (select doc_id from labels))")
+def cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache that holds the labelled documents' contents has not."""
+    keyed = table(spark, sf_dir, "documents").select("doc_id", cache.cache_key(F.encode("text", "UTF-8"), F.lit("x"), Settings()).alias("key"))
+    done = keyed.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
+    return cache.misses(keyed, done).select("doc_id")
+
+
+_ASKED = [(kind, ocr) for kind in (S.DOCX, S.XLSX, S.PPTX, S.PDF, S.RTF, S.OLE2) for ocr in (None, False, True)]
+_ENGINES = [(e.name, c, e.priority, e.ocr, i) for i, e in enumerate(DEFAULT) for c in e.content_types]
+
+
+def _sql(v: object) -> str:
+    return "null" if v is None else str(v).lower() if isinstance(v, bool | int) else f"'{v}'"
+
+
+def _rows(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join(map(_sql, r)) + ")" for r in rows)
+
+
+@query(f"""with asked(content_type, ocr) as (values {_rows(_ASKED)}), engines(name, content_type, priority, scan, seq) as (values {_rows(_ENGINES)}),
+fit as (select a.content_type, a.ocr, e.name, e.priority, e.seq, e.scan, max(coalesce(e.scan, false)) over (partition by a.content_type, a.ocr) as any_scan from asked a left join engines e using (content_type)),
+kept as (select *, row_number() over (partition by content_type, ocr order by priority desc, seq) as k from fit where name is not null and case when coalesce(ocr, false) and any_scan then scan else not scan end)
+select a.content_type, a.ocr, k.name as engine from asked a left join kept k on a.content_type = k.content_type and a.ocr is not distinct from k.ocr and k.k = 1""")
+def engine_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    registry = parsers.Registry(DEFAULT)
+    rows = [(kind, ocr, next((e.name for e in registry.chain(kind, ocr)), None)) for kind, ocr in _ASKED]
+    return spark.createDataFrame(rows, "content_type string, ocr boolean, engine string")
+
+
+_PAGE = StructType().add("text", StringType()).add("confidence", DoubleType())
+
+
+def _ocr_pages(words: pa.Array, confidences: pa.Array) -> pa.Array:
+    found = [parsers.ocr_page(w or [], c or []) for w, c in zip(words.to_pylist(), confidences.to_pylist(), strict=True)]
+    return pa.array([{"text": t, "confidence": c} for t, c in found], pa.struct([("text", pa.string()), ("confidence", pa.float64())]))
 
 
 @query("""with words as (select conv_id, turn, unnest(string_split(text, ' ')) as w from conversations), scored as (select conv_id, turn, w, case when w like '%,%' then -1 else len(w) * 10 end as conf from words),
@@ -515,13 +1016,11 @@ def ocr_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select doc_id, {clean_sql(dirty_sql('text'))} as text, cast({WORDS_SQL.format(clean_sql(dirty_sql('text')))} as integer) as tokens from documents")
 def stream_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a file stream, cleaned by the batch transforms and written as a table."""
-    import tempfile
     import uuid
 
     from ..streaming.stream import clean_stream
 
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="glyphmill-")
-    folder = f"{where}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared.shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     source = f"{sf_dir}/documents.parquet"
     kind = spark.read.parquet(source).schema
     stream = spark.readStream.schema(kind).parquet(f"{sf_dir}/documents.parque[t]")

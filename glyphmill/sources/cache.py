@@ -1,7 +1,8 @@
 """Results kept by content: a Parquet table keyed by a hash of bytes, path and options.
 
 Misses are the left anti join with that table, hits the inner join, so a second run over the same
-files parses nothing.
+files parses nothing. Failures are not kept: what failed is tried again, as a missing library may have
+been installed since.
 """
 
 from __future__ import annotations
@@ -22,6 +23,17 @@ def cache_key(content: Column, path: Column, settings: Settings, chunking: tuple
     return F.sha2(F.concat(content, F.encode(F.concat(F.lit("\0"), path, F.lit("\0" + options)), "UTF-8")), 256)
 
 
+def misses(keyed: DataFrame, done: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is not among those of a result table."""
+    return keyed.join(done.select("key"), "key", "left_anti")
+
+
+def by_content(files: DataFrame, name: str = "path") -> DataFrame:
+    """(hash, first, copies): each content once, with the least ``name`` that has it and the number of copies."""
+    hashed = files.select(F.sha2("content", 256).alias("hash"), F.col(name).alias("first"))
+    return hashed.groupBy("hash").agg(F.min("first").alias("first"), F.count("*").alias("copies"))
+
+
 class ResultTable:
     """A folder of Parquet files with a ``key`` column; what cannot be read counts as empty."""
 
@@ -41,12 +53,13 @@ class ResultTable:
         keyed = files.withColumn("key", cache_key(F.col("content"), path, settings, chunking))
         keys = keyed.select("key", path.alias("source"))
         old = self.read()
-        new = keyed if old is None else keyed.join(old.select("key"), "key", "left_anti")
+        new = keyed if old is None else misses(keyed, old)
         raw = reader.extract(new.drop("key"), settings.max_bytes, settings.ocr, registry)
-        documents = reader.documents(raw, settings, chunking)
-        documents.join(keys, documents["metadata.source"] == keys["source"]).drop("source").write.mode("append").parquet(self.path)
-        done = self.read()
-        return keys.select("key").join(done, "key") if done is not None else documents.withColumn("key", F.lit(None).cast("string"))
+        # read twice below: what succeeds is written, what fails is only given back
+        parsed = reader.documents(raw, settings, chunking).join(keys, F.col("metadata.source") == F.col("source")).drop("source").persist()
+        parsed.where("error is null").write.mode("append").parquet(self.path)
+        failed, done = parsed.where("error is not null"), self.read()
+        return failed if done is None else keys.select("key").join(done, "key").unionByName(failed)
 
 
 def default_path(folder: str) -> str:

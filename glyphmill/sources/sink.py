@@ -7,9 +7,7 @@ import os
 import sys
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
 from ..errors import ConfigError
 from ..options import FILE, load_settings, resolve, UNSET
@@ -19,11 +17,15 @@ from .parsers import doctor
 SUFFIX = {"markdown": ".md", "text": ".txt", "json": ".json"}
 
 
-def named(documents: DataFrame, output: str) -> DataFrame:
-    """Adds ``file``: the source's stem, with -1, -2 and so on where a stem comes again."""
-    stem = F.regexp_replace(F.element_at(F.split("metadata.source", "/"), -1), r"(?<=.)\.[^.]*\z", "")
-    again = F.row_number().over(W.partitionBy("_stem").orderBy("seq")) - 1
-    return documents.withColumn("_stem", stem).withColumn("file", F.concat("_stem", F.when(again > 0, F.concat(F.lit("-"), again)).otherwise(""), F.lit(SUFFIX[output]))).drop("_stem")
+def free_name(path: str, output: str, used: set[str]) -> str:
+    """A file name for a document: its source's stem, with -1, -2 and so on as long as that is taken."""
+    stem = Path(path).stem
+    name, n = stem + SUFFIX[output], 0
+    while name in used:
+        n += 1
+        name = f"{stem}-{n}{SUFFIX[output]}"
+    used.add(name)
+    return name
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -46,15 +48,15 @@ def main(argv: list[str] | None = None) -> int:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.getOrCreate()
-    found = named(reader.load_batch(spark, reader.expand(a.paths), settings=settings), settings.output).orderBy("seq")
-    failed, shown = 0, []
-    for row in found.select("file", "text", "error", "metadata.source").toLocalIterator():
+    found = reader.load_batch(spark, reader.expand(a.paths, spark), settings=settings).orderBy("seq")
+    failed, shown, used = 0, [], set()
+    for row in found.select("text", "error", "metadata.source").toLocalIterator():
         if row["error"] is not None:
             failed += 1
             print(f"{row['source']}: {row['error']}", file=sys.stderr)
         elif a.out:
             os.makedirs(a.out, exist_ok=True)
-            Path(a.out, row["file"]).write_text(row["text"] + "\n", "utf-8")
+            Path(a.out, free_name(row["source"], settings.output, used)).write_text(row["text"] + "\n", "utf-8")
         else:
             shown.append(row["text"])
     if shown:

@@ -2,13 +2,18 @@
 
 import json
 import random
+import subprocess
+import sys
+import types
+from dataclasses import dataclass
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from glyphmill import schema as S
-from glyphmill.errors import ConfigError, MissingDependency, UnsafeInput
-from glyphmill.observe import observed
+from glyphmill.errors import ConfigError, ExtractionError, MissingDependency, UnsafeInput
+from glyphmill.observe import emit, observed
 from glyphmill.operators import chunk as C
 from glyphmill.operators import records as R
 from glyphmill.operators import render as D
@@ -123,6 +128,25 @@ def test_records(spark):
             wrap(documents)
 
 
+@dataclass
+class Wrapped:
+    metadata: dict
+    page_content: str = ""
+    text: str = ""
+
+
+def test_wrappers_with_stand_in_modules(spark, monkeypatch):
+    documents = D.render(C.chunk(doc(spark, [h(1, "A"), p("one"), h(1, "B"), p("two")]), 512, 64))
+    for wrap, name in ((R.to_langchain, "langchain_core.documents"), (R.to_llamaindex, "llama_index.core")):
+        module = types.ModuleType(name)
+        module.Document = Wrapped
+        monkeypatch.setitem(sys.modules, name.split(".")[0], types.ModuleType(name.split(".")[0]))
+        monkeypatch.setitem(sys.modules, name, module)
+        made = sorted(wrap(documents), key=lambda d: d.metadata["chunk_index"])
+        assert [d.page_content or d.text for d in made] == ["A\none", "B\ntwo"]
+        assert made[1].metadata["section"] == "B" and made[0].metadata["warnings"] == ["w"] and made[0].metadata["engine"] == "docx"
+
+
 # --- containers
 
 
@@ -150,6 +174,111 @@ def test_parsers():
     assert parsers.doctor()["docx"] and not parsers.doctor()["ocr"]
 
 
+def stand_in(monkeypatch, name, **values):
+    module = types.ModuleType(name)
+    for k, v in values.items():
+        setattr(module, k, v)
+    monkeypatch.setitem(sys.modules, name, module)
+    return module
+
+
+class Region:
+    """A page's part, or a page, with what a PDF library tells of it."""
+
+    width, height = 100.0, 100.0
+
+    def __init__(self, lines, tables=(), fonts=(), top=0.0, bottom=100.0):
+        self.lines, self.tables, self.top, self.bottom = lines, tables, top, bottom
+        self.chars = [{"fontname": f} for f in fonts]
+
+    def find_tables(self):
+        return [types.SimpleNamespace(bbox=(0, a, 100, b), extract=lambda rows=rows: rows) for a, b, rows in self.tables]
+
+    def crop(self, box):
+        return Region(self.lines, top=box[1], bottom=box[3])
+
+    def extract_text(self):
+        return "\n".join(x for y, x in self.lines if self.top <= y < self.bottom) or None
+
+
+class Closing:
+    def __init__(self, **values):
+        self.__dict__.update(values)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        pass
+
+
+def test_pdf_with_a_stand_in_library(monkeypatch):
+    first = Region([(5, "before"), (60, " between "), (95, "after")], [(70, 90, [["x"]]), (10, 40, [["a\n b", None], ["c", "d"]])], ["Arial", None, "VNI-Times"])
+    pages = [first, Region([])]
+    stand_in(monkeypatch, "pdfplumber", open=lambda f: Closing(pages=pages))
+    found = parsers.pdf("x", b"%PDF-")
+    assert found.blocks == [{"type": "paragraph", "text": "before"}, {"type": "table", "rows": [["a b", ""], ["c", "d"]]}, {"type": "paragraph", "text": "between"}, {"type": "table", "rows": [["x"]]}, {"type": "paragraph", "text": "after"}]
+    assert found.fonts == ["Arial", "VNI-Times"] and found.page is None
+    pages.pop()
+    assert parsers.pdf("x", b"%PDF-").page == 1
+
+
+def test_ocr_with_stand_in_libraries(monkeypatch):
+    pages = [({"text": ["Việt", "", "Nam"], "conf": [90, -1, "70"]}), {"text": ["weak"], "conf": [20]}, {"text": [" "], "conf": [-1]}]
+    images = [types.SimpleNamespace(convert=lambda mode, i=i: i) for i in range(3)]
+
+    class NotFound(Exception):
+        pass
+
+    asked = {}
+
+    def data(image, **options):
+        asked.update(options)
+        if isinstance(pages[image], Exception):
+            raise pages[image]
+        return pages[image]
+
+    stand_in(monkeypatch, "pytesseract", image_to_data=data, Output=types.SimpleNamespace(DICT="dict"), TesseractNotFoundError=NotFound)
+    stand_in(monkeypatch, "pdf2image", convert_from_bytes=lambda content, dpi: images, exceptions=types.SimpleNamespace(PDFInfoNotInstalledError=NotFound))
+    found = parsers.ocr("x", b"%PDF-")
+    assert [b["text"] for b in found.blocks] == ["Việt Nam", "weak"] and found.native_unicode and found.warnings[0].startswith("1 page(s)")
+    assert asked["lang"] == "vie" and asked["timeout"] == 120
+    for error, kind in ((NotFound(), MissingDependency), (RuntimeError("time"), ExtractionError)):
+        pages[1] = error
+        with pytest.raises(kind):
+            parsers.ocr("x", b"%PDF-")
+
+
+def test_old_office_files_with_stand_ins(monkeypatch):
+    streams, outcome = [["WordDocument"]], [None]
+    stand_in(monkeypatch, "olefile", OleFileIO=lambda f: Closing(listdir=lambda: streams))
+
+    def soffice(command, **options):
+        if isinstance(outcome[0], Exception):
+            raise outcome[0]
+        if outcome[0]:
+            target = command[command.index("--convert-to") + 1]
+            (Path(command[command.index("--outdir") + 1]) / f"in.{target}").write_bytes(outcome[0])
+        assert any(c.startswith("-env:UserInstallation=file://") for c in command) and options["timeout"] == 120
+
+    monkeypatch.setattr(parsers.subprocess, "run", soffice)
+    outcome[0] = LEGACY
+    found = parsers.office("x.doc", b"")
+    assert found.engine == "libreoffice" and found.fonts == [".VnTime"]
+    streams[0], outcome[0] = ["Workbook"], XLSX
+    assert parsers.office("x.xls", b"").sheet == "Nhân viên"
+    for bad in (None, subprocess.TimeoutExpired("x", 1), subprocess.CalledProcessError(1, "x", stderr=b"why")):
+        outcome[0] = bad
+        with pytest.raises(ExtractionError):
+            parsers.office("x.xls", b"")
+    outcome[0] = FileNotFoundError()
+    with pytest.raises(MissingDependency):
+        parsers.office("x.xls", b"")
+    streams[0] = ["Other"]
+    with pytest.raises(ExtractionError):
+        parsers.office("x.ppt", b"")
+
+
 def test_registry():
     registry = parsers.Registry(parsers.DEFAULT)
     registry.register(parsers.DEFAULT[0])
@@ -195,12 +324,53 @@ def test_batch_isolates_failures(spark, folder):
     small = reader.load_batch(spark, [folder / "a.docx"], max_bytes=10, settings=Settings()).first()
     assert small["error_class"] == "UnsafeInput"
     with pytest.raises(Exception, match="UnsupportedFormat"):
-        reader.load(spark, folder / "e.txt", settings=Settings(), strict=True).collect()
+        reader.load(spark, folder / "e.txt", settings=Settings()).collect()
+    assert reader.load(spark, folder / "e.txt", settings=Settings(), strict=False).first()["error_class"] == "UnsupportedFormat"
+    uris = reader.load_batch(spark, [f"file://{folder}/a.docx", f"file://{folder}/gone.docx"], settings=Settings()).orderBy("seq").collect()
+    assert [r["error_class"] for r in uris] == [None, "OSError"] and uris[0]["text"].startswith("# Báo cáo")
     documents, seen = observed(reader.load_batch(spark, [folder / n for n in names], settings=Settings()))
     documents.collect()
     assert (seen.get["documents"], seen.get["failed"]) == (7, 4)
 
 
+def test_metrics(spark, folder):
+    names = ["d.rtf", "e.txt", "a.docx"]
+    documents = reader.load_batch(spark, [folder / n for n in names], settings=Settings(), timed=True)
+    seen = []
+    assert emit(documents, seen.append) == 3
+    by = {x["source"].rsplit("/", 1)[1]: x for x in seen}
+    assert by["d.rtf"]["ok"] and by["d.rtf"]["engine"] == "rtf" and set(by["d.rtf"]["layer_seconds"]) == {"extract", "normalize"} and by["d.rtf"]["error"] is None
+    assert all(v > 0 for v in by["a.docx"]["layer_seconds"].values())
+    assert not by["e.txt"]["ok"] and by["e.txt"]["error"].startswith("UnsupportedFormat")
+
+    def broken(record):
+        raise ValueError("hook")
+
+    assert emit(documents, broken) == 3
+    seen.clear()
+    with pytest.raises(Exception, match="UnsupportedFormat"):
+        emit(reader.load(spark, folder / "e.txt", settings=Settings(), timed=True), seen.append)
+    assert [x["ok"] for x in seen] == [False] and "UnsupportedFormat" in seen[0]["error"]
+
+
+def test_bytes_at_hand_are_refused_by_a_column(spark, folder):
+    files = reader.read_files(spark, [str(folder / "a.docx"), str(folder / "d.rtf"), str(folder / "e.txt")])
+    for limit in (200, 1 << 20):
+        a, b = (reader.extract(files, limit, at_hand=x).select("source", "text", "error_class", "error").orderBy("source").collect() for x in (True, False))
+        assert a == b and len(a) == 3
+
+
+def test_expand_lists_uris_by_hadoop(spark, folder):
+    (folder / "sub").mkdir()
+    (folder / "sub" / "x.docx").write_bytes(DOCX)
+    root = f"file://{folder}"
+    names = lambda *p: [x.rsplit("/", 1)[1] for x in reader.expand(p, spark)]
+    assert names(root) == ["a.docx", "b[1].docx", "x.docx"] and names(f"{root}/*.xlsx", f"{root}/c.xlsx") == ["c.xlsx"] or names(f"{root}/*.xlsx") == ["c.xlsx"]
+    assert names(f"{root}/gone.docx") == ["gone.docx"]
+    with pytest.raises(ValueError):
+        reader.expand([root])
+
+
 def test_expand(folder):
     assert [x.rsplit("/", 1)[1] for x in reader.expand([folder])] == ["a.docx", "b[1].docx"]
     assert [x.rsplit("/", 1)[1] for x in reader.expand([folder / "b[1].docx", folder / "*.docx", folder / "none"])] == ["b[1].docx", "a.docx", "none"]
@@ -214,17 +384,30 @@ def test_cache_parses_once(spark, folder, tmp_path):
     again = results.load(files, Settings(), registry=nothing)
     assert again.count() == 2 and again.where("error_class is not null").count() == 0
     assert results.load(files, Settings(output="text"), registry=nothing).where("error_class is not null").count() == 2
+    assert results.load(files, Settings(output="text")).where("error_class is null").count() == 2  # failures are tried again
+    empty = cache.ResultTable(spark, str(tmp_path / "other"))
+    assert empty.load(files, Settings(), registry=nothing).where("error_class is not null").count() == 2
 
 
 def test_data_source(spark, folder):
     datasource.register(spark)
     rows = spark.read.format("glyphmill_documents").load(str(folder)).collect()
     assert sorted((r["content_type"], r["error_class"]) for r in rows) == [(S.DOCX, None)] * 2
+    (folder / "h.docx").write_bytes(containers.pack({"word/document.xml": "<broken"}))
+    (folder / "i.docx").write_bytes(b"PK\x03\x04 broken")
+    for where in (str(folder), f"file://{folder}"):
+        rows = spark.read.format("glyphmill_documents").load(where).collect()
+        assert sorted(r["error_class"] or "" for r in rows) == ["", "", "ExtractionError", "UnsupportedFormat"]
+    rows = spark.read.format("glyphmill_documents").option("maxbytes", "10").load(str(folder)).collect()
+    assert {r["error_class"] for r in rows} == {"UnsafeInput"}
+    rows = spark.read.format("glyphmill_documents").load(str(folder / "f.pdf")).collect()
+    assert [(r["content_type"], r["error_class"]) for r in rows] == [(S.PDF, "MissingDependency")]
+    assert datasource.packed([("a", 5), ("b", 5), ("c", 20), ("d", 1), ("e", 1), ("f", 1)], 10, 2) == [["a", "b"], ["c"], ["d", "e"], ["f"]]
 
 
 def test_names_and_command_line(spark, folder, tmp_path, capsys):
-    rows = spark.createDataFrame([(0, "x/a.docx"), (1, "y/a.rtf"), (2, "b")], "seq int, source string").select("seq", F.struct("source").alias("metadata"))
-    assert [r["file"] for r in sink.named(rows, "markdown").orderBy("seq").collect()] == ["a.md", "a-1.md", "b.md"]
+    used = set()
+    assert [sink.free_name(p, "markdown", used) for p in ("x/a.docx", "y/a.rtf", "a-1.docx", "b", "a.b.docx")] == ["a.md", "a-1.md", "a-1-1.md", "b.md", "a.b.md"]
     assert sink.main([str(folder / "a.docx"), str(folder / "e.txt"), "--out", str(tmp_path / "out")]) == 1
     assert (tmp_path / "out" / "a.md").read_text("utf-8").startswith("# Báo cáo") and "e.txt" in capsys.readouterr().err
     assert sink.main(["doctor"]) == 0 and sink.main([str(folder / "a.docx"), "--normalize", "NFX"]) == 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from glyphmill import schema as S
 from glyphmill.functions import charmaps, detect
+from glyphmill.functions import plain as P
 from glyphmill.functions import text as T
 from glyphmill.operators import normalize as N
 
@@ -96,6 +97,34 @@ def test_forms(spark):
         T.normal_form(F.col("t"), "NFX")
 
 
+def test_normal_form_check(spark):
+    values = ["Tiếng Việt", unicodedata.normalize("NFD", "Tiếng Việt"), "ﬁ", "", None]
+    for form in T.FORMS:
+        assert column(spark, values, T.is_normal_form(F.col("t"), form)) == [None if v is None else unicodedata.is_normalized(form, v) for v in values]
+
+
+def test_rules_on_strings_equal_the_expressions(spark):
+    r = random.Random(6)
+    signs = ["\r\n", "\r", "\n", "\x0b", "\t", " ", "\xa0", "​", "\x00", "\x85", "\x1c", "\u2028", "࢐", "a", "ù", "½", "µ", "¸", "®", "é", "ế", "中", "\U0001f600", "\x02", "\xad", "²"]
+    values = ["".join(r.choice(signs) for _ in range(r.randint(0, 25))) for _ in range(800)] + [""]
+    assert column(spark, values, T.clean_chars(F.col("t"))) == [P.clean(v) for v in values]
+    for name in charmaps.CHARMAPS:
+        assert column(spark, values, charmaps.apply(F.col("t"), name)) == [P.convert(v, name) for v in values]
+    legacy = {b: a for a, b in charmaps.CHARMAPS["viscii"]}
+    values += ["".join(legacy.get(c, c) for c in "việt nam độc lập tự do hạnh phúc"), "Hi"]
+    found = column(spark, values, detect.content_verdict(detect.gains(F.col("t"))))
+    assert [tuple(v)[:3] for v in found] == [tuple(P.detect_content(v)) for v in values]
+    names = [".VnTime", "VNI-Times", "Arial", "", None, "ABCDEF+.vnarial", "vni", "x.Vn"]
+    fonts = [[r.choice(names) for _ in range(r.randint(0, 4))] for _ in range(200)]
+    rows = spark.createDataFrame([(i, f) for i, f in enumerate(fonts)], "i int, f array<string>").select("i", detect.detect_fonts(F.col("f")).alias("v")).orderBy("i").collect()
+    assert [tuple(x["v"])[:3] for x in rows] == [tuple(P.detect_fonts(f)) for f in fonts]
+
+
+def test_one_crossing_and_no_regex_in_the_plan(spark):
+    plan = N.normalize(raw(spark, [para("x")]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 0 and plan.count("translate(") == 0 and plan.count("ArrowEvalPython") == 1
+
+
 def test_tokens_and_score(spark):
     r = random.Random(4)
     values = ["".join(r.choice("ab \t\n\xa0 \x1c\x1f　") for _ in range(30)) for _ in range(300)] + [""]
