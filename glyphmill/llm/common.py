@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,9 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_scopes: list[list[str]] = []  # of each settled() that runs, the tables it has stored
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back, which cuts the lineage.
 
@@ -45,16 +48,34 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/glyphmill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`stored` that no later step reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """The table that ``make`` gives, stored; what was stored on the way is deleted, since nothing reads it
+    any more. If ``make`` fails its tables stay, for a look at them."""
+    _scopes.append([])
+    try:
+        out = stored(make(), name)
+        made = _scopes[-1]
+    finally:
+        _scopes.pop()
+    for folder in made[:-1]:
+        delete(out.sparkSession, folder)
+    return out
 
 
 def fresh(columns: list[str], base: str) -> str:
@@ -66,7 +87,11 @@ def fresh(columns: list[str], base: str) -> str:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Bound the Arrow batches that hold whole texts, so that a Python worker stays small."""
+    """Bound the Arrow batches that hold whole texts, so that a Python worker stays small.
+
+    The limits are settings of the session, read when a query runs, which may be after its operator has
+    returned; so they stay.
+    """
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import read_table
 from . import bpe, fingerprint, html_extract, licenses, line_dedup, minhash, outliers, packing, pii, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _on(table: str, operator: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: operator(spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+    return lambda spark, sf_dir: operator(read_table(spark, sf_dir, table))
 
 
 QUERIES: dict[str, Query] = {
