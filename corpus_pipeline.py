@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from glyphmill.llm import line_dedup, minhash, outliers, packing, pii
-from glyphmill.llm.common import stored
+from glyphmill.llm.common import forget, settled
+from glyphmill.sources.shared import read_table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +50,22 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``.
+
+    Each stage's result is a table in the shared folder, which the next reads; once that one's result is
+    written, the table and what the stage stored on its way are deleted. Defined cases are those of the
+    stages: a null or empty text passes all but the last, where it takes no place; null ids are never
+    compared; repeated rows are one document's until near-duplicates go; an empty table gives an empty result;
+    further columns of ``documents`` are kept up to the last stage.
+    """
+    return staged(spark, read_table(spark, sf_dir, "documents"), sf_dir)
+
+
+def staged(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    before = None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            forget(before)
+        before = docs
     return docs
