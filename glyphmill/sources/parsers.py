@@ -310,59 +310,112 @@ def xlsx(path: str, content: bytes) -> Extraction:
 
 # --- RTF
 
-_RTF = re.compile(r"\\([a-zA-Z]{1,32})(-?\d{1,10})? ?|\\'([0-9a-fA-F]{2})|\\([^a-zA-Z])|([{}])|[\r\n]+|([^\\{}\r\n]+)")
-_SKIPPED = frozenset("aftncn aftnsep aftnsepc annotation atnauthor atndate atnicn atnid atnparent atnref atntime atrfend atrfstart author background bkmkend bkmkstart blipuid buptim category colorschememapping colortbl comment company creatim datafield datastore defchp defpap do docvar dptxbxtext ebcend ebcstart factoidname falt fchars ffdeftext ffentrymcr ffexitmcr ffformat ffhelptext ffl ffname ffstattext file filetbl fldinst fldtype fname fontemb fontfile fonttbl footer footerf footerl footerr footnote formfield ftncn ftnsep ftnsepc generator gridtbl header headerf headerl headerr hl hlfr hlinkbase hlloc hlsrc hsv info keycode keywords latentstyles lchars levelnumbers leveltext lfolevel linkval list listlevel listname listoverride listoverridetable listpicture liststylename listtable listtext lsdlockedexcept manager mhtmltag nextfile nonesttables objalias objclass objdata object objname objsect oldcprops oldpprops oldsprops oldtprops operator panose password passwordhash pict pn pntext printim private propname protend protstart protusertbl pxe revtbl revtim rsidtbl shp shpinst shprslt sn sp staticval stylesheet subject sv svb tc template themedata title txe ud upr userprops wgrffmtfilter windowcaption xe xmlattrname xmlattrvalue xmlclose xmlname xmlnstbl xmlopen".split())
-_SPECIAL = {"par": "\n", "sect": "\n\n", "page": "\n\n", "line": "\n", "tab": "\t", "row": "\n", "cell": "|", "nestcell": "|", "emdash": "—", "endash": "–", "emspace": " ", "enspace": " ", "qmspace": " ", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”"}
+#: Destinations without text of the document's body; those marked as ignorable by ``\\*`` are left out anyway.
+_NO_BODY = frozenset("annotation bkmkend bkmkstart colortbl fldinst fonttbl footer footerf footerl footerr footnote generator header headerf headerl headerr info latentstyles listoverridetable listtable nonesttables object pict revtbl rsidtbl stylesheet tc template txe xe".split())
+_SIGNS = {"par": "\n", "sect": "\n\n", "page": "\n\n", "line": "\n", "row": "\n", "tab": "\t", "cell": "|", "nestcell": "|", "emdash": "—", "endash": "–", "bullet": "•", "lquote": "‘", "rquote": "’", "ldblquote": "“", "rdblquote": "”", "emspace": "\u2003", "enspace": "\u2002", "qmspace": "\u2005"}
+_SYMBOLS = {"~": "\xa0", "_": "-", "\\": "\\", "{": "{", "}": "}", "\n": "\n", "\r": "\n"}
+_CONTROL, _PLAIN = re.compile(r"([A-Za-z]+)(-?[0-9]+)? ?"), re.compile(r"[^\\{}\r\n]+")
 _LINES = re.compile(r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]")
 
 
+class _Rtf:
+    """A reader of the RTF syntax: groups, control words and symbols, escaped bytes, plain runs."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.out, self.codepage = source, [], "cp1252"
+        self.bytes = bytearray()  # escaped bytes in a row, decoded together, since a sign may have two
+        self.visible, self.width, self.skip = True, 1, 0  # width: how many signs stand in for a \\u
+        self.groups: list[tuple[bool, int]] = []
+
+    def flush(self) -> None:
+        if self.bytes:
+            try:
+                text = self.bytes.decode(self.codepage, "ignore")
+            except LookupError:
+                text = self.bytes.decode("cp1252", "ignore")
+            self.out.append(text)
+            self.bytes.clear()
+
+    def show(self, text: str) -> None:
+        left = text[self.skip :]
+        self.skip = max(0, self.skip - len(text))
+        if left and self.visible:
+            self.flush()
+            self.out.append(left)
+
+    def byte(self, value: int) -> None:
+        if self.skip:
+            self.skip -= 1
+        elif self.visible:
+            self.bytes.append(value)
+
+    def word(self, name: str, number: int | None, opens: bool, ignorable: bool) -> None:
+        """A control word; the first of a group names its destination."""
+        if opens and (ignorable or name in _NO_BODY):
+            self.visible = False
+        if name == "u" and number is not None:
+            if self.visible:
+                self.flush()
+                self.out.append(chr(number & 0xFFFF))
+            self.skip = self.width
+            return
+        self.skip = 0
+        if name == "uc":
+            self.width = 1 if number is None else max(0, number)
+        elif name == "ansicpg" and number:
+            self.codepage = f"cp{number}"
+        elif name in _SIGNS:
+            self.show(_SIGNS[name])
+
+    def read(self) -> str:
+        source, at, opens, ignorable = self.source, 0, False, False
+        while at < len(source):
+            sign = source[at]
+            if sign == "{":
+                self.groups.append((self.visible, self.width))
+                at, opens, ignorable, self.skip = at + 1, True, False, 0
+                continue
+            if sign == "}":
+                self.flush()
+                if self.groups:
+                    self.visible, self.width = self.groups.pop()
+                at, self.skip = at + 1, 0
+            elif sign == "\\":
+                after = source[at + 1 : at + 2]
+                if after == "*":
+                    at, ignorable = at + 2, True
+                    continue
+                if m := _CONTROL.match(source, at + 1):
+                    at = m.end()
+                    number = int(m[2][:10]) if m[2] else None
+                    if m[1] == "bin" and number:
+                        at += max(0, number)
+                    self.word(m[1], number, opens, ignorable)
+                elif after == "'":
+                    digits = source[at + 2 : at + 4]
+                    if len(digits) == 2 and all(c in "0123456789abcdefABCDEF" for c in digits):
+                        self.byte(int(digits, 16))
+                        at += 4
+                    else:
+                        at += 2
+                else:
+                    self.show(_SYMBOLS.get(after, ""))
+                    at += 2
+            elif sign in "\r\n":
+                at += 1
+                continue
+            else:
+                run = _PLAIN.match(source, at)
+                self.show(run[0])
+                at = run.end()
+            opens = ignorable = False
+        self.flush()
+        return "".join(self.out)
+
+
 def rtf_text(source: str) -> str:
-    """The visible text of an RTF stream: control words resolved, destinations that are no text left out."""
-    stack: list[tuple[int, bool]] = []
-    skip_after, hidden, pending, codepage = 1, False, 0, "cp1252"
-    out: list[str] = []
-    for m in _RTF.finditer(source):
-        word, number, code, sign, brace, plain = m.groups()
-        if brace == "{":
-            stack.append((skip_after, hidden))
-        elif brace == "}":
-            pending = 0
-            if stack:
-                skip_after, hidden = stack.pop()
-        elif sign:
-            pending = 0
-            if sign == "*":
-                hidden = True
-            elif sign in "\r\n" and not hidden:
-                out.append("\n")
-            elif not hidden:
-                out.append({"~": "\xa0", "_": "-", "-": ""}.get(sign, sign if sign in "{}\\" else ""))
-        elif word:
-            pending = 0
-            if word in _SKIPPED:
-                hidden = True
-            elif word == "ansicpg" and number:
-                codepage = f"cp{number}"
-            elif word == "uc":
-                skip_after = int(number or 1)
-            elif word == "u" and number:
-                if not hidden:
-                    out.append(chr(int(number) % 0x10000))
-                pending = skip_after
-            elif word in _SPECIAL and not hidden:
-                out.append(_SPECIAL[word])
-        elif code:
-            if pending:
-                pending -= 1
-            elif not hidden:
-                try:
-                    out.append(bytes([int(code, 16)]).decode(codepage, "ignore"))
-                except LookupError:
-                    out.append(bytes([int(code, 16)]).decode("cp1252", "ignore"))
-        elif plain and not hidden:
-            out.append(plain[pending:])
-            pending = max(0, pending - len(plain))
-    return "".join(out).encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    """The visible text of an RTF stream; pairs of surrogates become one character, lone ones U+FFFD."""
+    return _Rtf(source).read().encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def rtf(path: str, content: bytes) -> Extraction:

@@ -174,6 +174,23 @@ def test_parsers():
     assert parsers.doctor()["docx"] and not parsers.doctor()["ocr"]
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    (r"{\rtf1 a{\b b}c\par d}", "abc\nd"),
+    (r"{\rtf1{\info{\author x}}{\*\unknown y{z}}{\header h}body{\footnote f} end}", "body end"),
+    (r"{\rtf1\uc1 \u7879?x\uc0\u7879 y{\uc2\u233 ab}c\u233 d}", "ệxệyéc" + "éd"),
+    (r"{\rtf1\uc1\u55357?\u56832?}", "\U0001f600"),
+    (r"{\rtf1\ansicpg932 \'82\'a0\'82\'a2 a}", "あい a"),
+    (r"{\rtf1\ansicpg99999 \'e9}", "é"),
+    (r"{\rtf1 a\~b\_c\{d\}\\e\-f}", "a\xa0b-c{d}\\ef"),
+    (r"{\rtf1 one\tab two\cell three\row\emdash\'zz}", "one\ttwo|three\n—zz"),
+    ("{\\rtf1 a\nb\\\nc\\bin3 }{\\d}", "ab\ncd"),
+    ("plain } text", "plain  text"),
+    ("", ""),
+])
+def test_rtf_syntax(source, want):
+    assert parsers.rtf_text(source) == want
+
+
 def stand_in(monkeypatch, name, **values):
     module = types.ModuleType(name)
     for k, v in values.items():
