@@ -95,12 +95,27 @@ def convert_sql(text: str, name: str) -> str:
     return text
 
 
+def _parts(name: str) -> list[tuple[str, str]]:
+    """All sources of a charmap, as many at a time as there are letters to write with them."""
+    sources = [a for a, _ in charmaps.CHARMAPS[name]]
+    groups = [sources[i : i + len(LETTERS)] for i in range(0, len(sources), len(LETTERS))]
+    return [(LETTERS[: len(g)], "".join(g)) for g in groups]
+
+
 def _converter(name: str) -> None:
+    """Every document in a surface of some of the charmap's sources, which of them by its id."""
+    parts = _parts(name) if name != "vni" else []
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", T.normal_form(charmaps.apply(to_legacy(F.col("text"), name), name)).alias("text"))
+        old = to_legacy(F.col("text"), name)
+        for i, (letters, sources) in enumerate(parts[1:], 1):
+            old = F.when(F.pmod("doc_id", F.lit(len(parts))) == i, F.translate("text", letters, sources)).otherwise(old)
+        return table(spark, sf_dir, "documents").select("doc_id", old.alias("old")).select("doc_id", T.normal_form(charmaps.apply(F.col("old"), name)).alias("text"))
 
     run.__name__ = f"convert_{name}"
-    query(f"select doc_id, nfc_normalize({convert_sql(legacy_sql('text', name), name)}) as text from documents")(run)
+    cases = "".join(f" when {i} then translate(text, '{letters}', {q(sources)})" for i, (letters, sources) in enumerate(parts[1:], 1))
+    old = f"case doc_id % {len(parts)}{cases} else {legacy_sql('text', name)} end" if cases else legacy_sql("text", name)
+    query(f"select doc_id, nfc_normalize({convert_sql('old', name)}) as text from (select doc_id, {old} as old from documents)")(run)
 
 
 for _name in charmaps.CHARMAPS:
@@ -270,6 +285,16 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents"))).select("doc_id", "text")
 
 
+@query(f"""with {LINES}, kept as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i from lines where trim(line) <> '')
+select doc_id, coalesce(string_agg(case when len(line) <= {HEAD} then repeat('#', cast(greatest(1, least(6, (doc_id + i) % 9)) as integer)) || ' ' || line else line end, chr(10) || chr(10) order by i), '') as text from kept group by doc_id""")
+def render_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of levels 0 to 8, which Markdown shows as 1 to 6."""
+    docs = normalized(table(spark, sf_dir, "documents"))
+    level = lambda b, i: F.when(b["type"] == "heading", F.pmod(F.col("doc_id") + i, F.lit(9)).cast("int"))
+    docs = docs.withColumn("blocks", F.transform("blocks", lambda b, i: b.withField("level", level(b, i))))
+    return D.render(docs).select("doc_id", "text")
+
+
 @query("select doc_id, text from documents")
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents")), "text").select("doc_id", "text")
@@ -509,6 +534,52 @@ def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_docx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
 
 
+def _rich_bytes(texts: pa.Array) -> pa.Array:
+    """Lines as headings of six levels, tables, and paragraphs of two runs, of which one has a font."""
+    out = []
+    for t in texts.to_pylist():
+        body = []
+        for i, line in enumerate(x for x in (t or "").split("\n") if x.strip()):
+            if len(line) <= HEAD:
+                body.append(containers.paragraph(containers.run(line), style=f"Heading{i % 6 + 1}"))
+            elif i % 4 == 3:
+                body.append(containers.table([[line, str(i)], ["", "y"]]))
+            else:
+                body.append(containers.paragraph(containers.run(line[:10], ".VnTime"), containers.run(line[10:])))
+        out.append(containers.docx(*body))
+    return pa.array(out, pa.binary())
+
+
+@query(f"""with {LINES}, kept as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i, len(line) <= {HEAD} as head from lines where trim(line) <> '')
+select doc_id, cast(i as integer) as pos, case when head then 'heading' when i % 4 = 3 then 'table' else 'paragraph' end as type, case when head then cast(i % 6 + 1 as integer) end as level,
+  case when not head and i % 4 = 3 then line || '|' || i || '/|y' else line end as text, case when head or i % 4 = 3 then '' else '.VnTime' end as fonts, case when head then 1 when i % 4 = 3 then 0 else 2 end as runs from kept""")
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_rich_bytes, BinaryType())("text")), 1 << 30, at_hand=True)
+    found = raw.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("doc_id"), F.posexplode("blocks").alias("pos", "b"))
+    rows = F.array_join(F.transform("b.rows", lambda r: F.array_join(r, "|")), "/")
+    return found.select("doc_id", "pos", "b.type", "b.level", F.coalesce("b.text", rows).alias("text"), F.array_join(F.coalesce("b.fonts", F.array()), ",").alias("fonts"), F.coalesce(F.size("b.runs"), F.lit(0)).alias("runs"))
+
+
+def _cells_bytes(names: pa.Array, keys: pa.Array, balances: pa.Array) -> pa.Array:
+    out = []
+    for name, key, balance in zip(names.to_pylist(), keys.to_pylist(), balances.to_pylist(), strict=True):
+        flag = f'<c t="b"><v>{key % 2}</v></c>'
+        date = f'<c s="1"><v>{40000 + key % 3000}</v></c>'
+        out.append(containers.xlsx({"S": [[name, f"<c><v>{key}</v></c>", f"<c><v>{balance!r}</v></c>", flag, date, "<c><f>A1</f></c>"]]}))
+    return pa.array(out, pa.binary())
+
+
+@query("""select c_custkey, 'S' as sheet, concat_ws('|', c_name, c_custkey::varchar, format('{:.12g}', c_acctbal::double), case when c_custkey % 2 = 1 then 'TRUE' else 'FALSE' end, cast(date '1899-12-30' + cast(40000 + c_custkey % 3000 as integer) as date)::varchar, '=A1') as cells,
+  'sheet ''S'': formula cell(s) had no cached value; kept the formula text' as warnings from customer""")
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each customer with text, whole and other numbers, truth, a date and a formula."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.arrow_udf(_cells_bytes, BinaryType())("c_name", "c_custkey", F.col("c_acctbal").cast("double")).alias("content"))
+    files = made.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    raw = reader.extract(files, 1 << 30, at_hand=True)
+    cells = F.array_join(F.get(F.get(F.col("blocks"), 1)["rows"], 0), "|")
+    return raw.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("c_custkey"), "sheet", cells.alias("cells"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query(f"""select doc_id, '{S.XLSX}' as content_type, 'xlsx' as engine, {clean_sql("'Sheet' || chr(10) || replace(rtrim(text, chr(10)), chr(10), chr(9) || chr(10)) || chr(9)")} as text, 2 as blocks from documents where trim(text, ' ' || chr(10)) <> ''""")
 def xlsx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_xlsx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
@@ -706,6 +777,16 @@ def render_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents"))).select("doc_id", "text")
 
 
+@query(f"""with {LINES}, kept as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i from lines where trim(line) <> '')
+select doc_id, coalesce(string_agg(case when len(line) <= {HEAD} then repeat('#', cast(greatest(1, least(6, (doc_id + i) % 9)) as integer)) || ' ' || line else line end, chr(10) || chr(10) order by i), '') as text from kept group by doc_id""")
+def render_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of levels 0 to 8, which Markdown shows as 1 to 6."""
+    docs = normalized(table(spark, sf_dir, "documents"))
+    level = lambda b, i: F.when(b["type"] == "heading", F.pmod(F.col("doc_id") + i, F.lit(9)).cast("int"))
+    docs = docs.withColumn("blocks", F.transform("blocks", lambda b, i: b.withField("level", level(b, i))))
+    return D.render(docs).select("doc_id", "text")
+
+
 @query("select doc_id, text from documents")
 def render_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.render(normalized(table(spark, sf_dir, "documents")), "text").select("doc_id", "text")
@@ -945,6 +1026,52 @@ def docx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_docx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
 
 
+def _rich_bytes(texts: pa.Array) -> pa.Array:
+    """Lines as headings of six levels, tables, and paragraphs of two runs, of which one has a font."""
+    out = []
+    for t in texts.to_pylist():
+        body = []
+        for i, line in enumerate(x for x in (t or "").split("\n") if x.strip()):
+            if len(line) <= HEAD:
+                body.append(containers.paragraph(containers.run(line), style=f"Heading{i % 6 + 1}"))
+            elif i % 4 == 3:
+                body.append(containers.table([[line, str(i)], ["", "y"]]))
+            else:
+                body.append(containers.paragraph(containers.run(line[:10], ".VnTime"), containers.run(line[10:])))
+        out.append(containers.docx(*body))
+    return pa.array(out, pa.binary())
+
+
+@query(f"""with {LINES}, kept as (select doc_id, line, row_number() over (partition by doc_id order by pos) - 1 as i, len(line) <= {HEAD} as head from lines where trim(line) <> '')
+select doc_id, cast(i as integer) as pos, case when head then 'heading' when i % 4 = 3 then 'table' else 'paragraph' end as type, case when head then cast(i % 6 + 1 as integer) end as level,
+  case when not head and i % 4 = 3 then line || '|' || i || '/|y' else line end as text, case when head or i % 4 = 3 then '' else '.VnTime' end as fonts, case when head then 1 when i % 4 = 3 then 0 else 2 end as runs from kept""")
+def docx_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_rich_bytes, BinaryType())("text")), 1 << 30, at_hand=True)
+    found = raw.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("doc_id"), F.posexplode("blocks").alias("pos", "b"))
+    rows = F.array_join(F.transform("b.rows", lambda r: F.array_join(r, "|")), "/")
+    return found.select("doc_id", "pos", "b.type", "b.level", F.coalesce("b.text", rows).alias("text"), F.array_join(F.coalesce("b.fonts", F.array()), ",").alias("fonts"), F.coalesce(F.size("b.runs"), F.lit(0)).alias("runs"))
+
+
+def _cells_bytes(names: pa.Array, keys: pa.Array, balances: pa.Array) -> pa.Array:
+    out = []
+    for name, key, balance in zip(names.to_pylist(), keys.to_pylist(), balances.to_pylist(), strict=True):
+        flag = f'<c t="b"><v>{key % 2}</v></c>'
+        date = f'<c s="1"><v>{40000 + key % 3000}</v></c>'
+        out.append(containers.xlsx({"S": [[name, f"<c><v>{key}</v></c>", f"<c><v>{balance!r}</v></c>", flag, date, "<c><f>A1</f></c>"]]}))
+    return pa.array(out, pa.binary())
+
+
+@query("""select c_custkey, 'S' as sheet, concat_ws('|', c_name, c_custkey::varchar, format('{:.12g}', c_acctbal::double), case when c_custkey % 2 = 1 then 'TRUE' else 'FALSE' end, cast(date '1899-12-30' + cast(40000 + c_custkey % 3000 as integer) as date)::varchar, '=A1') as cells,
+  'sheet ''S'': formula cell(s) had no cached value; kept the formula text' as warnings from customer""")
+def xlsx_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workbook for each customer with text, whole and other numbers, truth, a date and a formula."""
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.arrow_udf(_cells_bytes, BinaryType())("c_name", "c_custkey", F.col("c_acctbal").cast("double")).alias("content"))
+    files = made.select(F.concat(F.lit("/c/"), F.col("c_custkey").cast("string")).alias("path"), F.octet_length("content").cast("long").alias("length"), "content")
+    raw = reader.extract(files, 1 << 30, at_hand=True)
+    cells = F.array_join(F.get(F.get(F.col("blocks"), 1)["rows"], 0), "|")
+    return raw.select(F.regexp_extract("source", r"(\d+)$", 1).cast("long").alias("c_custkey"), "sheet", cells.alias("cells"), F.array_join("warnings", "; ").alias("warnings"))
+
+
 @query(f"""select doc_id, '{S.XLSX}' as content_type, 'xlsx' as engine, {clean_sql("'Sheet' || chr(10) || replace(rtrim(text, chr(10)), chr(10), chr(9) || chr(10)) || chr(9)")} as text, 2 as blocks from documents where trim(text, ' ' || chr(10)) <> ''""")
 def xlsx_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _back(reader.extract(_files(table(spark, sf_dir, "documents"), F.arrow_udf(_xlsx_bytes, BinaryType())("text")), 1 << 30, at_hand=True))
