@@ -281,3 +281,23 @@ def deduplicate(docs: DataFrame, rare: int = RARE, least: int = WORDS, drop_empt
     text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.col(kept))
     columns = [text.alias("text") if c == "text" else F.when(F.col(gone).isNull(), F.col(c)).otherwise(F.length(kept)).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return out.select(*columns, *([F.coalesce(F.size(gone), F.lit(0)).alias(count)] if count else []))
+
+
+def deduplicate_sql(least: int = WORDS) -> str:
+    """The texts and numbers of deleted lines in DuckDB, by comparing the runs of lines themselves, for
+    documents whose ids differ."""
+    return f"""
+with texts as (select doc_id, text, string_split(text, chr(10)) as l from documents),
+each as (select doc_id, unnest(range(len(l))) as pos, trim(regexp_replace(unnest(l), '[\\x09-\\x0d\\x1c-\\x20]+', ' ', 'g')) as line from texts),
+kept as (select *, row_number() over (partition by doc_id order by pos) as i, len(string_split(line, ' ')) as w from each where line <> ''),
+lists as (select doc_id, list(line order by i) as ls, list(pos order by i) as ps, list_prepend(0, list(c order by i)) as sums from (select *, cast(sum(w) over (partition by doc_id order by i) as bigint) as c from kept) group by doc_id),
+ends as (select *, unnest(range(1, len(ls) + 1)) as i from lists),
+runs as (select doc_id, ls, ps, i as a, len(list_filter(sums, lambda x: x < sums[i] + {least})) as b from ends where sums[len(sums)] >= sums[i] + {least}
+  union select doc_id, ls, ps, len(list_filter(sums, lambda x: x <= sums[i + 1] - {least})) as a, i as b from ends where sums[i + 1] >= {least}),
+keyed as (select doc_id, ps, a, b, array_to_string(ls[a : b], chr(10)) as key from runs),
+firsts as (select key, min(doc_id) as first from keyed group by key),
+gone as (select distinct doc_id, unnest(ps[a : b]) as pos from keyed join firsts using (key) where first < doc_id),
+lost as (select doc_id, list(pos) as g from gone group by doc_id)
+select doc_id, case when g is null then text else array_to_string(list_filter(l, lambda x, i: not list_contains(g, i - 1)), chr(10)) end as text, cast(coalesce(len(g), 0) as integer) as n_removed
+from texts left join lost using (doc_id)
+"""

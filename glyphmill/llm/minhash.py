@@ -289,7 +289,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
     base = base.select("doc_id", "text")
 
     copies = stored(features.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "copies")
-    exact = attached(features.select("doc_id", "fp"), copies.where("n > 1"), "fp", "n").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     sigs = stored(features.join(copies.select(F.col("rep").alias("doc_id"), "fp"), ["doc_id", "fp"], "left_semi").select(F.col("doc_id").alias("rep"), "sig").dropDuplicates(["rep"]), "sigs")
 
     width = 2 * ROWS
@@ -312,8 +311,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, miss: float =
         cross = cross.unionByName(similar_pairs(_texts(base, many.select("doc_id")), many, threshold))
     cross = cross.distinct().join(star.withColumn("done", F.lit(1)), ["a", "b"], "left_anti")
     second = verify(cross, near_sigs, base, threshold, miss).select("a", "b")
-    roots = components(first.unionByName(second).unionByName(exact))
-    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id"))
+    # the groups made so far go on as stars; copies of a text follow it and need no part in the rounds
+    roots = components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(second))
+    texts = copies.where("n > 1").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "n", "rep", F.coalesce("root", "rep").alias("kept_id"))
+    exact = attached(features.select("doc_id", "fp"), stored(texts, "texts"), "fp", "n").where("doc_id <> rep").select("doc_id", "kept_id").distinct()
+    return roots.select(F.col("node").alias("doc_id"), F.col("root").alias("kept_id")).unionByName(exact)
 
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD, miss: float = MISS) -> DataFrame:

@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_line_dedup": line_dedup.deduplicate_sql(),
     "op5_license_scan": licenses.scan_sql(),
     "op6_multiset_fingerprints": fingerprint.FINGERPRINT_SQL,
 }

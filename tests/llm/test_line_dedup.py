@@ -233,3 +233,17 @@ def test_frequent_lines_are_neighbours_across_blank_lines(spark):
 def test_empty(spark):
     assert L.deduplicate(table(spark, [])).count() == 0
     assert L.repeated_lines(table(spark, [])).count() == 0
+
+
+def test_sql_equals_all_pairs():
+    import duckdb
+    import pandas as pd
+
+    rows = [x for x in corpus() if x[0] is not None and x[0] >= 100]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source", "n_chars"])
+    con = duckdb.connect()
+    con.register("documents", documents)
+    for least in (L.WORDS, 1, 20):
+        gone = naive(rows, least)
+        want = [(d, "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone.get((d, t), ())), len(gone.get((d, t), ()))) for d, t, *_ in rows]
+        assert sorted(con.execute(L.deduplicate_sql(least)).fetchall()) == sorted(want)
