@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import time
 from functools import lru_cache
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -47,14 +48,8 @@ def plan(block: dict, doc: Verdict) -> tuple[list[Segment], bool, bool]:
 
 def joined(runs: list[dict], segments: list[Segment]) -> str:
     """The runs converted, neighbours of one encoding together, since a letter may span two."""
-    pieces: list[tuple[str | None, str]] = []
-    for r, (encoding, _, _) in zip(runs, segments, strict=True):
-        text = r["text"] or ""
-        if pieces and pieces[-1][0] == encoding:
-            pieces[-1] = encoding, pieces[-1][1] + text
-        else:
-            pieces.append((encoding, text))
-    return "".join(convert(text, encoding) for encoding, text in pieces)
+    together = groupby(zip(runs, segments, strict=True), key=lambda x: x[1][0])
+    return "".join(convert("".join(r["text"] or "" for r, _ in part), encoding) for encoding, part in together)
 
 
 def typed(block: dict, change, text: str | None = None) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+from itertools import chain, count
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -20,10 +21,8 @@ SUFFIX = {"markdown": ".md", "text": ".txt", "json": ".json"}
 def free_name(path: str, output: str, used: set[str]) -> str:
     """A file name for a document: its source's stem, with -1, -2 and so on as long as that is taken."""
     stem = Path(path).stem
-    name, n = stem + SUFFIX[output], 0
-    while name in used:
-        n += 1
-        name = f"{stem}-{n}{SUFFIX[output]}"
+    endings = chain([""], (f"-{k}" for k in count(1)))
+    name = next(x for e in endings if (x := stem + e + SUFFIX[output]) not in used)
     used.add(name)
     return name
 
