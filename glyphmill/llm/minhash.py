@@ -223,7 +223,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(found)), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "tokens"])
 
 
-def _prefixes(threshold: float, heavy: np.ndarray):
+def _prefixes(threshold: float, heavy: tuple[np.ndarray, np.ndarray]):
     """(token, doc_id, size, place, short) of the first tokens of each set; ``heavy`` has the tokens that
     come last, sorted, and their order. ``short`` marks those that count if the set is the smaller one."""
     names, order = heavy
