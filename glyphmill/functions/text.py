@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType
 
+from .slices import by_slices, in_slices
+
 FORMS = ("NFC", "NFD", "NFKC", "NFKD")
 
 # Java's white space with (?U) lacks only U+001C-1F of Python's; its Cf and Cc lack nine newer code points.
@@ -35,7 +37,7 @@ def _form_udf(form: str):
         raise ValueError(f"form must be one of {list(FORMS)}, got {form!r}")
     # not deterministic in name only: else the optimizer could copy the call into the lambda of a
     # later higher-order function, where Python cannot be evaluated
-    return F.arrow_udf(lambda values: _normal(values, form), StringType()).asNondeterministic()
+    return by_slices(lambda values: _normal(values, form), StringType()).asNondeterministic()
 
 
 def normal_form(text: Column, form: str = "NFC") -> Column:
@@ -46,7 +48,7 @@ def normal_form(text: Column, form: str = "NFC") -> Column:
 
 @lru_cache(maxsize=None)
 def _is_udf(form: str):
-    return F.arrow_udf(lambda values: pa.array([None if x is None else unicodedata.is_normalized(form, x) for x in values.to_pylist()], pa.bool_()), BooleanType())
+    return in_slices(lambda values: pa.array([None if x is None else unicodedata.is_normalized(form, x) for x in values.to_pylist()], pa.bool_()), BooleanType(), pa.bool_())
 
 
 def is_normal_form(text: Column, form: str = "NFC") -> Column:
@@ -96,7 +98,7 @@ def score(text: str) -> float:
 
 @lru_cache(maxsize=1)
 def _score_udf():
-    return F.arrow_udf(lambda texts: pa.array([None if t is None else score(t) for t in texts.to_pylist()], pa.float64()), DoubleType()).asNondeterministic()
+    return in_slices(lambda texts: pa.array([None if t is None else score(t) for t in texts.to_pylist()], pa.float64()), DoubleType(), pa.float64()).asNondeterministic()
 
 
 def vietnamese_score(text: Column) -> Column:
