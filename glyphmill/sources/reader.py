@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from .. import errors as E
 from .. import schema as S
+from ..functions.slices import slices
 from ..operators import chunk as C
 from ..operators.normalize import normalize
 from ..operators.render import render
@@ -26,6 +27,7 @@ from ..options import UNSET, Settings, resolve
 from . import sniff
 from .parsers import DEFAULT, Registry, check_zip_bomb
 
+SLICE = 1 << 18
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -105,17 +107,22 @@ def _parse(registry: Registry, ocr: bool | None):
     block = pa.struct([("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("fonts", pa.list_(pa.string())), ("runs", pa.list_(kinds))])
     types = {"text": pa.string(), "engine": pa.string(), "page": pa.int32(), "sheet": pa.string(), "fonts": pa.list_(pa.string()), "native_unicode": pa.bool_(), "warnings": pa.list_(pa.string()), "blocks": pa.list_(block), "error_class": pa.string(), "error": pa.string()}
 
+    def parsed(source: pa.Array, kind: pa.Array, hint: pa.Array, content: pa.Array, *errors: pa.Array) -> pa.RecordBatch:
+        rows, seconds = [], []
+        for x in zip(*(c.to_pylist() for c in (source, kind, hint, content)), strict=True):
+            began = time.perf_counter()
+            rows.append(parse_one(registry, ocr, *x))
+            seconds.append([("extract", time.perf_counter() - began)])
+        found = [pa.array([r.get(n) for r in rows], t) for n, t in types.items() if n not in ("error_class", "error")]
+        error = [pa.array([r.get(n) or old for r, old in zip(rows, olds.to_pylist(), strict=True)], pa.string()) for n, olds in zip(("error_class", "error"), errors, strict=True)]
+        taken = pa.array(seconds, pa.map_(pa.string(), pa.float64()))
+        return pa.RecordBatch.from_arrays([source, kind, *found, *error, taken], ["source", "content_type", *types, "layer_seconds"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, seconds = [], []
-            for x in zip(*(batch.column(c).to_pylist() for c in ("source", "content_type", "is_scanned_pdf", "content")), strict=True):
-                began = time.perf_counter()
-                rows.append(parse_one(registry, ocr, *x))
-                seconds.append([("extract", time.perf_counter() - began)])
-            found = [pa.array([r.get(n) for r in rows], t) for n, t in types.items() if n not in ("error_class", "error")]
-            error = [pa.array([r.get(n) or old for r, old in zip(rows, batch.column(n).to_pylist(), strict=True)], pa.string()) for n in ("error_class", "error")]
-            taken = pa.array(seconds, pa.map_(pa.string(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([batch.column("source"), batch.column("content_type"), *found, *error, taken], ["source", "content_type", *types, "layer_seconds"])
+            # what a container inflates to is several times its size, so slices are smaller than those of texts
+            for part in slices(tuple(batch.column(c) for c in ("source", "content_type", "is_scanned_pdf", "content", "error_class", "error")), SLICE):
+                yield parsed(*part)
 
     return run
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from .. import schema as S
+from ..functions.slices import in_slices
 
 WINDOW = 8 + 65536
 ENTRIES = (("word/document.xml", S.DOCX), ("xl/workbook.xml", S.XLSX), ("ppt/presentation.xml", S.PPTX))
@@ -33,7 +34,7 @@ def classify_zip(content: bytes) -> str | None:
 
 @lru_cache(maxsize=1)
 def _zip_udf():
-    return F.arrow_udf(lambda v: pa.array([None if x is None else classify_zip(x) for x in v.to_pylist()], pa.string()), StringType())
+    return in_slices(lambda v: pa.array([None if x is None else classify_zip(x) for x in v.to_pylist()], pa.string()), StringType(), pa.string())
 
 
 def family(content: Column) -> Column:

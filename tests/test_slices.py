@@ -2,8 +2,11 @@
 
 import pyarrow as pa
 
+from glyphmill import schema as S
 from glyphmill.functions import text as T
 from glyphmill.functions.slices import slices
+from glyphmill.sources import containers, reader
+from glyphmill.sources.parsers import DEFAULT, Registry
 
 
 def test_slices_are_bounded_and_whole():
@@ -21,3 +24,13 @@ def test_normal_form_gives_its_batch_in_slices():
     given = list(function(iter([pa.array(["ế" * 1000] * 5000)])))
     assert sum(map(len, given)) == 5000 and len(given) > 5
     assert max(x.nbytes for x in given) < 4 << 20
+
+
+def test_parsing_gives_its_batch_in_slices():
+    content = containers.docx(*[containers.paragraph(containers.run(f"line {i} of a document")) for i in range(200)])
+    names = ["source", "content_type", "is_scanned_pdf", "content", "error_class", "error"]
+    batch = pa.RecordBatch.from_pydict({"source": [f"/{i}" for i in range(600)], "content_type": [S.DOCX] * 600, "is_scanned_pdf": pa.array([None] * 600, pa.bool_()), "content": [content] * 600, "error_class": pa.array([None] * 600, pa.string()), "error": pa.array([None] * 600, pa.string())})
+    assert batch.schema.names == names
+    given = list(reader._parse(Registry(DEFAULT), None)(iter([batch])))
+    assert [x for b in given for x in b.column("source").to_pylist()] == batch.column("source").to_pylist()
+    assert max(b.num_rows for b in given) < 600 and all(len(x) == 200 for b in given for x in b.column("blocks").to_pylist())
