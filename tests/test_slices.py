@@ -1,10 +1,15 @@
 """Arrow batches taken in slices, and the text rules on Python strings."""
 
+import random
+import re
+
 import pyarrow as pa
 
 from glyphmill import schema as S
+from glyphmill.functions import charmaps, plain
 from glyphmill.functions import text as T
 from glyphmill.functions.slices import slices
+from glyphmill.operators import normalize as N
 from glyphmill.sources import containers, reader
 from glyphmill.sources.parsers import DEFAULT, Registry
 
@@ -34,3 +39,34 @@ def test_parsing_gives_its_batch_in_slices():
     given = list(reader._parse(Registry(DEFAULT), None)(iter([batch])))
     assert [x for b in given for x in b.column("source").to_pylist()] == batch.column("source").to_pylist()
     assert max(b.num_rows for b in given) < 600 and all(len(x) == 200 for b in given for x in b.column("blocks").to_pylist())
+
+
+def by_patterns(text: str) -> str:
+    text = plain._unseen().sub("", re.sub(r"\r\n?|[\x0b\x0c]", "\n", text))
+    text = re.sub(r"^ +| +$", "", re.sub(r"[^\S\t\n]+", " ", text), flags=re.M)
+    return re.sub(r"\n{3,}", "\n\n", text).strip("\n")
+
+
+def test_cleaning_equals_its_patterns():
+    random.seed(5)
+    signs = ["a", "ế", "é", " ", " ", "\n", "\n", "\t", "\r", "\r\n", "\x0b", "\x0c", "\x00", "\x1c", "\x85", "\xa0", "\u2003", "\u2028", "\u3000", "\u200b", "\ufeff", "\ue000", "\ud800", "\U0001f600", "\xad"]
+    for i in range(20_000):
+        t = "".join(random.choices(signs[: 8 if i % 2 else None], k=random.randrange(14)))
+        assert plain.clean(t) == by_patterns(t), repr(t)
+
+
+def test_converting_equals_the_greedy_scan():
+    random.seed(6)
+    for name, pairs in charmaps.CHARMAPS.items():
+        signs = [a for a, _ in pairs] + ["a", "z", " ", "đ", "\ud800", "\U0001f600", "\uffff"]
+        for _ in range(300):
+            t = "".join(random.choices(signs, k=random.randrange(30)))
+            assert plain.convert(t, name) == charmaps.convert(t, name), (name, t)
+
+
+def test_normalising_gives_its_batch_in_slices():
+    """Blocks of a batch are made and given back part by part."""
+    text = pa.array(["µ word  of\ttext " * 200] * 2000)
+    blocks = pa.array([[{"type": "paragraph", "level": None, "text": "µ", "rows": None, "fonts": None, "runs": None}]] * 2000)
+    given = list(N._pass(None, "NFC").func(iter([(blocks, text, pa.array([None] * 2000, pa.list_(pa.string())), pa.array([None] * 2000, pa.bool_()))])))
+    assert sum(map(len, given)) == 2000 and max(map(len, given)) < 1000
