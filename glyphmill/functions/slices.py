@@ -27,6 +27,21 @@ def slices(columns: tuple[pa.Array, ...], most: int = MOST) -> Iterator[tuple[pa
         yield columns
 
 
+def values(column: pa.Array) -> list[Any]:
+    """As ``to_pylist``, which makes a scalar of each nested value on its way; here each field is one list."""
+    if pa.types.is_list(column.type):
+        flat, out, at = values(column.flatten()), [], 0
+        for n in column.value_lengths().to_pylist():
+            out.append(None if n is None else flat[at : at + n])
+            at += n or 0
+        return out
+    if pa.types.is_struct(column.type) and column.type.num_fields:
+        names, there = [f.name for f in column.type], column.is_valid().to_pylist()
+        rows = zip(*map(values, column.flatten()), strict=True)
+        return [dict(zip(names, row, strict=True)) if known else None for row, known in zip(rows, there, strict=True)]
+    return column.to_pylist()
+
+
 def by_slices(function: Callable[..., pa.Array], kind: DataType) -> Any:
     """An Arrow function that gives its results slice by slice, so that no batch of them is held either."""
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from glyphmill import schema as S
 from glyphmill.functions import charmaps, plain
 from glyphmill.functions import text as T
-from glyphmill.functions.slices import slices
+from glyphmill.functions.slices import slices, values
 from glyphmill.operators import normalize as N
 from glyphmill.sources import containers, reader
 from glyphmill.sources.parsers import DEFAULT, Registry
@@ -70,3 +70,12 @@ def test_normalising_gives_its_batch_in_slices():
     blocks = pa.array([[{"type": "paragraph", "level": None, "text": "µ", "rows": None, "fonts": None, "runs": None}]] * 2000)
     given = list(N._pass(None, "NFC").func(iter([(blocks, text, pa.array([None] * 2000, pa.list_(pa.string())), pa.array([None] * 2000, pa.bool_()))])))
     assert sum(map(len, given)) == 2000 and max(map(len, given)) < 1000
+
+
+def test_values_equal_to_pylist():
+    run = pa.struct([("text", pa.string()), ("font", pa.string())])
+    block = pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32()), ("rows", pa.list_(pa.list_(pa.string()))), ("runs", pa.list_(run))]))
+    one = {"type": "table", "level": 2, "rows": [["a", None], [], None], "runs": [{"text": "x", "font": None}, None]}
+    column = pa.array([[one, None, one | {"rows": None, "runs": []}], None, [], [one | {"runs": None}], [one] * 3], block)
+    for part in (column, column[1:], column[2:4], column[:0]):
+        assert values(part) == part.to_pylist()
