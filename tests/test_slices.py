@@ -79,3 +79,16 @@ def test_values_equal_to_pylist():
     column = pa.array([[one, None, one | {"rows": None, "runs": []}], None, [], [one | {"runs": None}], [one] * 3], block)
     for part in (column, column[1:], column[2:4], column[:0]):
         assert values(part) == part.to_pylist()
+
+
+def test_rtf_gives_its_batch_in_slices():
+    """No batch given is large, and paragraphs end at every kind of line end, wherever the cuts fall."""
+    ends = ["\r\n", "\n", "\x0b", "\x0c", "\r", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
+    lines = [f"line {i} \xa0\x1f of a text" for i in range(40)]
+    spelled = "".join(x + "".join(f"\\u{ord(c)}?" for c in ends[i % len(ends)]) for i, x in enumerate(lines))
+    n, content = 3000, ("{\\rtf1\\ansi " + spelled + "\\par }").encode("latin-1")
+    batch = pa.RecordBatch.from_pydict({"source": [f"/{i}" for i in range(n)], "content_type": [S.RTF] * n, "is_scanned_pdf": pa.array([None] * n, pa.bool_()), "content": [content] * n, "error_class": pa.array([None] * n, pa.string()), "error": pa.array([None] * n, pa.string())})
+    given = list(reader._parse(Registry(DEFAULT), None)(iter([batch])))
+    assert [x for b in given for x in b.column("source").to_pylist()] == batch.column("source").to_pylist()
+    assert all([b["text"] for b in x] == lines for g in given for x in g.column("blocks").to_pylist())
+    assert max(g.nbytes for g in given) < 1 << 20 < sum(g.nbytes for g in given) / 5
