@@ -2,6 +2,7 @@
 
 import random
 import re
+import sys
 
 import pyarrow as pa
 
@@ -92,3 +93,32 @@ def test_rtf_gives_its_batch_in_slices():
     assert [x for b in given for x in b.column("source").to_pylist()] == batch.column("source").to_pylist()
     assert all([b["text"] for b in x] == lines for g in given for x in g.column("blocks").to_pylist())
     assert max(g.nbytes for g in given) < 1 << 20 < sum(g.nbytes for g in given) / 5
+
+
+def test_normalising_mixed_shapes_by_slices():
+    """Runs and blocks of two encodings: slices give what each document alone gives, without a call for each sign."""
+
+    def block(text: str, fonts: list[str] | None = None, runs: list[dict] | None = None) -> dict:
+        return {"type": "paragraph", "level": None, "text": text, "rows": None, "fonts": fonts, "runs": runs}
+
+    old, new = "µ word  of\ta text \xa0 " * 300, "a  plain \u2003 word " * 300
+    runs = [{"text": old, "font": ".VnTime"}, {"text": new, "font": "Arial"}]
+    shapes = [[block(old, [".VnTime"]), block(new, ["Arial"])], [block(old + new, None, runs)], [block(old, ["VNI-Times"]), block(old, [".VnTime"])], [block(old, [".VnTime"])]]
+    fonts = [[".VnTime", "Arial"]] * 2 + [["VNI-Times", ".VnTime"], [".VnTime"]]
+    n, calls = 400, 0
+    run = pa.struct([("text", pa.string()), ("font", pa.string())])
+    kind = pa.list_(pa.struct([("type", pa.string()), ("level", pa.int32()), ("text", pa.string()), ("rows", pa.list_(pa.list_(pa.string()))), ("fonts", pa.list_(pa.string())), ("runs", pa.list_(run))]))
+    columns = pa.array([shapes[i % 4] for i in range(n)], kind), pa.array([old + new] * n), pa.array([fonts[i % 4] for i in range(n)], pa.list_(pa.string())), pa.array([None] * n, pa.bool_())
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    alone = [N.normalized(shapes[i], old + new, fonts[i], None, None, "NFC") for i in range(4)]
+    sys.setprofile(None)
+    assert calls < 4 * 200
+    given = list(N._pass(None, "NFC").func(iter([columns])))
+    found = [x for g in given for x in g.to_pylist()]
+    assert all({k: v for k, v in x.items() if k != "seconds"} == alone[i % 4] for i, x in enumerate(found)) and len(found) == n
+    assert max(map(len, given)) < n / 4
